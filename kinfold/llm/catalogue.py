@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kinfold.llm import secret_scan
+from kinfold.llm import mixing, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op4_source_mixing": mixing.query,
         "op6_secret_scan": secret_scan.query,
     }
 
