@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kinfold.llm import mixing, secret_scan
+from kinfold.llm import mixing, packing, secret_scan, token_files
 
 
 def queries() -> dict:
     return {
         "op4_source_mixing": mixing.query,
         "op6_secret_scan": secret_scan.query,
+        "op9_token_files": token_files.query,
+        "op10_packing": packing.query,
     }
 
 
