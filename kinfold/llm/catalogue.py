@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kinfold.llm import mixing, packing, secret_scan, token_files
+from kinfold.llm import chat_format, mixing, packing, secret_scan, token_files
 
 
 def queries() -> dict:
     return {
+        "op3_chat_format": chat_format.query,
         "op4_source_mixing": mixing.query,
         "op6_secret_scan": secret_scan.query,
         "op9_token_files": token_files.query,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secret_scan": secret_scan.ORACLE}
+    return {"op3_chat_format": chat_format.ORACLE, "op6_secret_scan": secret_scan.ORACLE}
