@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat_format, mixing, packing, secret_scan, token_files
+from kinfold.llm import chat_format, mixing, packing, quality_rules, secret_scan, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality_rules.query,
         "op3_chat_format": chat_format.query,
         "op4_source_mixing": mixing.query,
         "op6_secret_scan": secret_scan.query,
