@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat_format, mixing, packing, quality_mil, quality_rules, secret_scan, token_files
+from kinfold.llm import chat_format, embedding_dedup, mixing, packing, quality_mil, quality_rules, secret_scan, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.query,
         "op3_chat_format": chat_format.query,
         "op4_source_mixing": mixing.query,
+        "op5_embedding_dedup": embedding_dedup.query,
         "op6_secret_scan": secret_scan.query,
         "op8_quality_mil": quality_mil.query,
         "op9_token_files": token_files.query,
