@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat_format, embedding_dedup, mixing, packing, quality_mil, quality_rules, secret_scan, token_files
+from kinfold.llm import chat_format, embedding_dedup, minhash_dedup, mixing, packing, quality_mil, quality_rules, secret_scan, token_files
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_source_mixing": mixing.query,
         "op5_embedding_dedup": embedding_dedup.query,
         "op6_secret_scan": secret_scan.query,
+        "op7_minhash_dedup": minhash_dedup.query,
         "op8_quality_mil": quality_mil.query,
         "op9_token_files": token_files.query,
         "op10_packing": packing.query,
