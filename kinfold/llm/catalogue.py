@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kinfold.llm import chat_format, embedding_dedup, minhash_dedup, mixing, packing, quality_mil, quality_rules, secret_scan, token_files
+from kinfold.llm import chat_format, embedding_dedup, minhash_dedup, mixing, packing, quality_mil, quality_rules, secret_scan, suffix_dedup, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.query,
         "op2_quality_rules": quality_rules.query,
         "op3_chat_format": chat_format.query,
         "op4_source_mixing": mixing.query,

@@ -134,7 +134,8 @@ def redact(versions: DataFrame, text: str = "text", mark: str = "[secret]") -> D
 
     spans = F.col("__found")
     out = scan_secrets(versions, text, spans="__found")
-    return out.withColumn(text, F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(body)).drop("__found").select(*versions.columns)
+    out = out.withColumn("__body", F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(body))
+    return out.select(*[F.col("__body").alias(c) if c == text else F.col(c) for c in versions.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
