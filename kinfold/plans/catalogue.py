@@ -1,11 +1,330 @@
-"""The registered queries of the resolution engine."""
+"""The registered queries of the resolution engine, with their DuckDB SQL.
+
+Two reference views: all ``documents`` (whole texts) for tokenization,
+frequencies and blocking, and all ``benchmark`` items (whole texts) where pairs
+are scored and resolved.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.config import Parameters
+from kinfold.functions.similarity import token_similarity
+from kinfold.functions.tokens import scoring_tokens
+from kinfold.operators import blocking, evaluate, frequency, report, scoring
+from kinfold.plans.resolve import prepare, resolve, scored_candidates
+from kinfold.sources.delimited import ascii_only, from_table
+
+DOCS = Parameters(beta=8, sigma=50, removeDuplicateTokens=True)
+ITEMS = Parameters(beta=16, sigma=20, removeDuplicateTokens=True, mu=Decimal("0.40"), muIterate=Decimal("0.05"), epsilon=Decimal("0.10"), comparator="ScoringMatrixKris")
+STD = replace(ITEMS, comparator="ScoringMatrixStd")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return from_table(spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id"), ascii_only(F.col("text")))
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    return from_table(spark.read.parquet(f"{sf}/benchmark.parquet"), F.col("item_id"), ascii_only(F.col("text")))
+
+
+def _doc_refs(spark, sf):
+    return frequency.reform(frequency.tokens(documents(spark, sf), DOCS))
+
+
+def _item_refs(spark, sf):
+    return frequency.reform(frequency.tokens(items(spark, sf), ITEMS))
+
+
+def tokenize(tokenizer: str) -> Callable:
+    return lambda spark, sf: frequency.tokens(documents(spark, sf), replace(DOCS, tokenizerType=tokenizer))
+
+
+def token_frequency(spark, sf):
+    return frequency.token_frequency(frequency.tokens(documents(spark, sf), DOCS))
+
+
+def tokenization_stats(spark, sf):
+    return frequency.tokenization_stats(documents(spark, sf), DOCS)
+
+
+def frequency_stats(spark, sf):
+    return frequency.frequency_stats(token_frequency(spark, sf)).select("max_freq", F.round("mean_freq", 6).alias("mean_freq"), F.round("stdev_freq", 6).alias("stdev_freq"))
+
+
+def reformed_refs(spark, sf):
+    return _doc_refs(spark, sf).select("ref_id", F.explode("toks").alias("t")).select("ref_id", "t.pos", "t.tok", "t.freq")
+
+
+def blocking_tokens(spark, sf):
+    return blocking.blocking_tokens(_doc_refs(spark, sf), DOCS).select("ref_id", "tok", "times")
+
+
+def block_keys_single(spark, sf):
+    return blocking.block_keys_single(_doc_refs(spark, sf), DOCS).select("t1", "ref_id")
+
+
+def block_keys_pairs(spark, sf):
+    return blocking.block_keys_pairs(_item_refs(spark, sf), ITEMS)
+
+
+def candidates(pairs: bool) -> Callable:
+    return lambda spark, sf: blocking.candidate_pairs(_doc_refs(spark, sf), replace(DOCS, blockByPairs=pairs))
+
+
+def blocking_stats(spark, sf):
+    return blocking.blocking_stats(_doc_refs(spark, sf), DOCS)
+
+
+def stopword_filter(spark, sf):
+    return _item_refs(spark, sf).select("ref_id", F.posexplode(scoring_tokens(F.col("toks"), ITEMS)).alias("at", "tok")).select("ref_id", (F.col("at") + 1).alias("pos"), "tok")
+
+
+def token_pair_similarity(spark, sf):
+    """Similarities between the distinct compared tokens of candidate pairs."""
+    refs = prepare(items(spark, sf), ITEMS)
+    both = scoring.pair_refs(blocking.candidate_pairs(refs, ITEMS), refs, ITEMS)
+    pairs = both.select(F.explode("l1").alias("t1"), "l2").select("t1", F.explode("l2").alias("t2")).distinct()
+    p = replace(ITEMS, matrixNumTokenRule=True, matrixInitialRule=True)
+    return pairs.select("t1", "t2", F.round(token_similarity(p)(F.col("t1"), F.col("t2")), 6).alias("similarity"))
+
+
+def score(comparator: str) -> Callable:
+    p = replace(ITEMS, comparator=comparator)
+    return lambda spark, sf: scored_candidates(prepare(items(spark, sf), p), p).withColumn("score", F.round("score", 6))
+
+
+def _first_pass(spark, sf):
+    refs = prepare(items(spark, sf), ITEMS)
+    links = scoring.links(scored_candidates(refs, ITEMS), float(ITEMS.mu))
+    return refs, links
+
+
+def linked_pairs(spark, sf):
+    return _first_pass(spark, sf)[1].select("r1", "r2", F.round("score", 6).alias("score"))
+
+
+def connected_components(spark, sf):
+    return evaluate.clusters(_first_pass(spark, sf)[1])
+
+
+def cluster_members(spark, sf):
+    refs, links = _first_pass(spark, sf)
+    return evaluate.clusters(links).join(refs, "ref_id").select("ref_id", "cluster_id", F.size("toks").alias("n_tokens"))
+
+
+def unprocessed_refs(spark, sf):
+    refs, links = _first_pass(spark, sf)
+    return evaluate.unprocessed(refs, evaluate.clusters(links)).select("ref_id", F.size("toks").alias("n_tokens"))
+
+
+def _quality(spark, sf):
+    refs, links = _first_pass(spark, sf)
+    members = evaluate.clusters(links)
+    return refs, members, evaluate.cluster_quality(members, refs, float(ITEMS.epsilon))
+
+
+def cluster_quality(spark, sf):
+    q = _quality(spark, sf)[2]
+    return q.select("cluster_id", "n_refs", "n_tokens", F.round("entropy", 6).alias("entropy"), F.round("quality", 6).alias("quality"), "is_good")
+
+
+def split(good: bool) -> Callable:
+    def query(spark, sf):
+        _, members, q = _quality(spark, sf)
+        return evaluate.split_members(members, q, good)
+
+    return query
+
+
+def linked_index_one_pass(spark, sf):
+    refs, members, q = _quality(spark, sf)
+    return report.linked_index(refs, evaluate.split_members(members, q, True))
+
+
+def linked_index(spark, sf):
+    return resolve(items(spark, sf), ITEMS).index
+
+
+def cluster_profile(spark, sf):
+    return report.cluster_profile(linked_index_one_pass(spark, sf))
+
+
+def er_matrix(spark, sf):
+    item = F.col("item_id")
+    truth = spark.read.parquet(f"{sf}/benchmark.parquet").select(item.cast("string").alias("ref_id"), F.floor(item / 4).cast("string").alias("truth_id"))
+    return report.er_matrix(linked_index_one_pass(spark, sf), truth)
+
+
+def run_stats(spark, sf):
+    return resolve(items(spark, sf), ITEMS).run_stats(spark)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "tokenize_splitter": tokenize("Splitter"),
+        "tokenize_compress": tokenize("Compress"),
+        "token_frequency": token_frequency,
+        "tokenization_stats": tokenization_stats,
+        "token_frequency_stats": frequency_stats,
+        "reformed_refs": reformed_refs,
+        "blocking_tokens": blocking_tokens,
+        "block_keys_single": block_keys_single,
+        "block_keys_pairs": block_keys_pairs,
+        "candidate_pairs_single": candidates(False),
+        "candidate_pairs_by_pairs": candidates(True),
+        "blocking_stats": blocking_stats,
+        "stopword_filter": stopword_filter,
+        "token_pair_similarity": token_pair_similarity,
+        "score_std": score("ScoringMatrixStd"),
+        "score_kris": score("ScoringMatrixKris"),
+        "score_cosine": score("Cosine"),
+        "score_monge_elkan": score("MongeElkan"),
+        "linked_pairs": linked_pairs,
+        "connected_components": connected_components,
+        "cluster_members": cluster_members,
+        "unprocessed_refs": unprocessed_refs,
+        "cluster_quality": cluster_quality,
+        "good_clusters": split(True),
+        "bad_clusters": split(False),
+        "linked_index_one_pass": linked_index_one_pass,
+        "linked_index": linked_index,
+        "cluster_profile": cluster_profile,
+        "er_matrix": er_matrix,
+        "run_stats": run_stats,
+    }
+
+
+# --- DuckDB SQL ----------------------------------------------------------
+
+
+def _view(ref_id: str, table: str, p: Parameters, compress: bool = False) -> str:
+    """CTEs: found (all tokens), lists (de-duplicated), toks (ref_id, pos, tok), freq, ref (with freq)."""
+    body = "upper(regexp_replace(text, '[^A-Za-z0-9_]+', ' ', 'g'))"
+    return f"""
+refs0 as (select cast({ref_id} as varchar) as ref_id, list_filter(string_split({body}, ' '), lambda x: length(x) > 0) as found from {table}),
+occ as (select ref_id, unnest(found) as tok, unnest(range(1, len(found) + 1)) as i from refs0),
+firsts as (select ref_id, tok, min(i) as i from occ group by all),
+toks as (select ref_id, cast(row_number() over (partition by ref_id order by i) as int) as pos, tok from firsts),
+freq as (select tok, count(*) as freq from toks group by tok),
+ref as (select ref_id, pos, tok, freq from toks join freq using (tok)),
+btok as (select ref_id, tok, count(*) as times from ref where freq between 2 and {p.beta} and length(tok) >= {p.minBlkTokenLen} and not regexp_full_match(tok, '[0-9]+') group by all),
+shared as (select a.ref_id as r1, b.ref_id as r2, sum(least(a.times, b.times))::bigint as shared from btok a join btok b on a.tok = b.tok and a.ref_id < b.ref_id group by all)"""
+
+
+D = "with recursive " + _view("doc_id", "documents", DOCS)
+T = "with recursive " + _view("item_id", "benchmark", ITEMS)
+
+_LISTS = f""",
+words as (select ref_id, list(tok order by pos) as l from ref where freq < {ITEMS.sigma} and length(tok) >= {ITEMS.minBlkTokenLen} and not regexp_full_match(tok, '[0-9]+') group by ref_id),
+ids as (select distinct ref_id from ref),
+lists as (select ref_id, coalesce(l, []) as l from ids left join words using (ref_id)),
+pairs as (select r1, r2 from shared where shared >= 2),
+both_l as (select r1, r2, a.l as l1, b.l as l2 from pairs join lists a on a.ref_id = r1 join lists b on b.ref_id = r2)"""
+
+
+def _similarity(rules: bool) -> str:
+    tests = "when regexp_full_match(t1, '[0-9]+') and regexp_full_match(t2, '[0-9]+') then 0.0::double when length(t1) = 1 or length(t2) = 1 then 0.0::double" if rules else ""
+    return f"case when t1 = t2 then 1.0::double {tests} else 1.0::double - damerau_levenshtein(t1, t2)::double / greatest(length(t1), length(t2)) end"
+
+
+_CELLS = f""",
+tp as (select distinct t1, t2 from (select unnest(l1) as t1, l2 from both_l) cross join lateral (select unnest(l2) as t2)),
+sim as (select t1, t2, {_similarity(False)} as s from tp)"""
+
+_GRID = """,
+a1 as (select r1, r2, unnest(l1) as t1, unnest(range(1, len(l1) + 1)) as i, l2 from both_l),
+grid as (select r1, r2, i, t1, unnest(l2) as t2, unnest(range(1, len(l2) + 1)) as j from a1),
+cell as (select r1, r2, i, j, s from grid join sim using (t1, t2))"""
+
+
+# a cell is picked if no cell before it (by similarity, row, column) that is itself picked shares its row or column; the picks are
+# found by scanning the sorted cells with the rows and columns used so far
+def _greedy(flip: bool) -> str:
+    """CTE picks (r1, r2, m, sims, rows): the greedy matching; ``flip``: the shorter list's tokens are the rows."""
+    rows = "case when len(l1) <= len(l2) then i else j end, case when len(l1) <= len(l2) then j else i end" if flip else "i, j"
+    r, c = rows.split(", case") if flip else rows.split(", ")
+    c = "case" + c if flip else c
+    return f""",
+turned as (select r1, r2, {r} as r, {c} as c, s from cell join both_l using (r1, r2)),
+sorted as (select r1, r2, list({{'r': r, 'c': c, 's': s}} order by s desc, r, c) as cells from turned group by r1, r2),
+scanned as (select r1, r2, list_reduce(cells, lambda acc, x: case when list_contains(acc.ur, x.r) or list_contains(acc.uc, x.c) then acc
+    else {{'ur': list_append(acc.ur, x.r), 'uc': list_append(acc.uc, x.c), 'sims': list_append(acc.sims, x.s), 'r': 0::bigint, 'c': 0::bigint, 's': 0.0::double}} end,
+    {{'ur': []::bigint[], 'uc': []::bigint[], 'sims': []::double[], 'r': 0::bigint, 'c': 0::bigint, 's': 0.0::double}}) as acc from (select r1, r2, list_transform(cells, lambda x: {{'ur': []::bigint[], 'uc': []::bigint[], 'sims': []::double[], 'r': x.r::bigint, 'c': x.c::bigint, 's': x.s}}) as cells from sorted)),
+picks as (select r1, r2, acc.ur as rows, acc.sims as sims, len(acc.ur) as m from scanned)"""
+
+
+_STD = _greedy(False) + """,
+score as (select r1, r2, coalesce(list_sum(sims) / m, 0.0::double) as score from both_l left join picks using (r1, r2))"""
+_KRIS = _greedy(True) + """,
+score as (select r1, r2, coalesce(list_sum(list_transform(range(1, m + 1), lambda k: sims[k] * (m - rows[k] + 1) / (m * (m + 1) / 2))), 0.0::double) as score from both_l left join picks using (r1, r2))"""
 
-def queries() -> dict:
-    return {}
+_MADE = T + _LISTS + _CELLS + _GRID
+_KRIS_ALL = _MADE + _KRIS
+_LINKS = _KRIS_ALL + f""",
+link as materialized (select r1, r2, score from score where score >= {ITEMS.mu}),
+edge as (select r1 as a, r2 as b from link union select r2, r1 from link union select r1, r1 from link union select r2, r2 from link),
+reach as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a),
+cluster as (select a as ref_id, min(b) as cluster_id from reach group by a)"""
+_QUALITY = _LINKS + f""",
+held as (select cluster_id, tok, count(*) as c from cluster join ref using (ref_id) group by all),
+size as (select cluster_id, count(*) as n_refs from cluster group by all),
+sums as (select cluster_id, n_refs, sum(c)::bigint as n_tokens, sum(-(c / n_refs) * log2(c / n_refs)) as entropy from held join size using (cluster_id) group by all),
+quality as (select *, 1 - entropy / (n_tokens * log2(n_refs) / n_refs) as quality from sums),
+good as (select ref_id, cluster_id from cluster join quality using (cluster_id) where quality >= {ITEMS.epsilon}),
+idx as (select ref_id, coalesce(good.cluster_id, ref_id) as cluster_id from ids left join good using (ref_id))"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "tokenize_splitter": D + " select ref_id, pos, tok from toks",
+        "tokenize_compress": D + " select ref_id, pos, tok from toks",
+        "token_frequency": D + " select tok, freq from freq",
+        "tokenization_stats": D
+        + """, n as (select (select count(*) from refs0) as refs_read, (select count(*) from occ) as tokens_found, (select count(*) from toks where regexp_full_match(tok, '[0-9]+')) as numeric_tokens,
+            (select count(*) from toks) as tokens_left, (select count(*) from refs0 where len(found) = 0) as refs_without_tokens, (select count(*) from freq) as unique_tokens)
+            select *, tokens_found - tokens_left as duplicate_tokens, round(unique_tokens / tokens_found, 4) as unique_ratio, round(numeric_tokens / tokens_found, 4) as numeric_ratio from n""",
+        "token_frequency_stats": D + " select max(freq) as max_freq, round(avg(freq), 6) as mean_freq, round(stddev_pop(freq), 6) as stdev_freq from freq",
+        "reformed_refs": D + " select ref_id, pos, tok, freq from ref",
+        "blocking_tokens": D + " select ref_id, tok, times from btok",
+        "block_keys_single": D + " select tok as t1, ref_id from btok",
+        "block_keys_pairs": T + " select a.tok as t1, b.tok as t2, a.ref_id from btok a join btok b on a.ref_id = b.ref_id and a.tok < b.tok",
+        "candidate_pairs_single": D + " select r1, r2 from shared",
+        "candidate_pairs_by_pairs": D + " select r1, r2 from shared where shared >= 2",
+        "blocking_stats": D
+        + """, k as (select ref_id, sum(times) as k from btok group by all), n as (select (select count(distinct ref_id) from ref) as refs, (select count(*) from k) as refs_selected, (select count(*) from k where k >= 2) as refs_left,
+            (select sum(k * (k - 1) / 2)::bigint from k where k >= 2) as blocking_records, (select coalesce(sum(shared * (shared - 1) / 2), 0)::bigint from shared where shared >= 2) as pairs_by_blocks,
+            (select count(*) from shared where shared >= 2) as unique_pairs)
+            select *, refs - refs_selected as refs_excluded from n""",
+        "stopword_filter": T + _LISTS + " select ref_id, cast(unnest(range(1, len(l) + 1)) as int) as pos, unnest(l) as tok from lists",
+        "token_pair_similarity": T + _LISTS + _CELLS + f" select t1, t2, round({_similarity(True)}, 6) as similarity from tp",
+        "score_std": _MADE + _STD + " select r1, r2, round(score, 6) as score from score",
+        "score_kris": _KRIS_ALL + " select r1, r2, round(score, 6) as score from score",
+        "score_cosine": T + _LISTS + " select r1, r2, case when len(l1) > 0 and len(l2) > 0 then round(len(list_intersect(l1, l2)) / sqrt(len(l1)::double * len(l2)), 6) else 0.0::double end as score from both_l",
+        "score_monge_elkan": _MADE
+        + """, best as (select r1, r2, i, max(s) as s from cell group by all), me as (select r1, r2, sum(s) as total from best group by all)
+            select r1, r2, coalesce(round(total / len(l1), 6), 0.0::double) as score from both_l left join me using (r1, r2)""",
+        "linked_pairs": _LINKS + " select r1, r2, round(score, 6) as score from link",
+        "connected_components": _LINKS + " select ref_id, cluster_id from cluster",
+        "cluster_members": _LINKS + " select ref_id, cluster_id, cast(count(*) as int) as n_tokens from cluster join ref using (ref_id) group by all",
+        "unprocessed_refs": _LINKS + " select ref_id, cast(count(*) as int) as n_tokens from ref anti join cluster using (ref_id) group by all",
+        "cluster_quality": _QUALITY + f" select cluster_id, n_refs, n_tokens, round(entropy, 6) as entropy, round(quality, 6) as quality, quality >= {ITEMS.epsilon} as is_good from quality",
+        "good_clusters": _QUALITY + " select ref_id, cluster_id from good",
+        "bad_clusters": _QUALITY + " select ref_id, cluster_id from cluster anti join good using (ref_id)",
+        "linked_index_one_pass": _QUALITY + " select ref_id, cluster_id from idx",
+        "cluster_profile": _QUALITY
+        + """, sz as (select count(*) as cluster_size from idx group by cluster_id)
+            select cluster_size, count(*) as n_clusters, sum(cluster_size)::bigint as n_refs, round(sum(cluster_size) / count(*), 4) as avg_size from sz group by rollup (cluster_size)""",
+        "er_matrix": _QUALITY
+        + """, t as (select ref_id, cluster_id, cast(cast(ref_id as bigint) // 4 as varchar) as truth_id from idx), cells as (select cluster_id, truth_id, count(*) as n from t group by all),
+            c as (select (select sum(n) * (sum(n) - 1) / 2 from cells)::bigint as d, (select sum(n * (n - 1) / 2)::bigint from (select sum(n) as n from cells group by cluster_id)) as l,
+            (select sum(n * (n - 1) / 2)::bigint from (select sum(n) as n from cells group by truth_id)) as e, (select sum(n * (n - 1) / 2)::bigint from cells) as tp),
+            f as (select *, l - tp as fp, e - tp as fn, d - tp - (l - tp) - (e - tp) as tn, round(tp / nullif(l, 0), 4) as precision, round(tp / nullif(e, 0), 4) as recall from c)
+            select *, round(2 * precision * recall / nullif(precision + recall, 0), 4) as f from f""",
+    }
