@@ -18,7 +18,7 @@ from kinfold.llm.kernels import U64, SpanHash, words
 WORDS_FILE = "word_bpe_49k.json"
 BYTES_FILE = "byte_bpe_50k.json"
 MAX_PIECES = 1_000_000
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 # Leads of the UTF-8 forms of white space beyond ASCII, and controls that some engines count as such: no cut beside them.
 _PLAIN = np.zeros(256, dtype=bool)

@@ -27,9 +27,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.kernels import U64, SpanHash, as_bytes, column, mix, slices, words
+from kinfold.llm.kernels import U64, SpanHash, as_bytes, column, compressed, mix, slices, words
 from kinfold.operators.components import connected_components
-from kinfold.runtime import checkpoint, scratch_table
+from kinfold.runtime import bound_batches, checkpoint, scratch_table
 
 SHINGLE = 5
 THRESHOLD = 85  # in hundredths
@@ -120,13 +120,12 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in column(batch, "text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_key"), pa.array(packed, pa.binary())], ["doc_key", "body"])
+        for part, bodies in compressed(batch, "text"):
+            yield pa.RecordBatch.from_arrays([column(part, "doc_key"), bodies], ["doc_key", "body"])
 
 
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 19
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +168,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_key (a hash of id and text), key, n_shingles, component_id and kept of every row."""
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     sketches = checkpoint(docs.mapInArrow(_sketch, SKETCH).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("h1", "h2", "n_shingles"))))
     classes = checkpoint(

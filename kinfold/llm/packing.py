@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from kinfold.llm.encoding import BYTES_FILE, SLICE, encoder, public_path
 from kinfold.llm.kernels import U64, SpanHash, column, mix, slices, words
 from kinfold.llm.token_files import with_end
+from kinfold.runtime import bound_batches
 
 SEQUENCE = 2048
 END_ID = 1
@@ -134,6 +135,7 @@ def _pack(path: str):
 
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The pieces of every document of ``docs`` (doc_id, text) in sequences along the curve."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.mapInArrow(_add_keys, "doc_id bigint, text string, curve bigint")
     order = ("curve", "doc_id", F.xxhash64("text"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.llm.kernels import U64, SpanHash, column, mix, slices, words
+from kinfold.runtime import bound_batches
 
 TRAIN_ROWS = 5000
 TREES, DEPTH, BINS, RATE, LEAST = 60, 4, 32, 0.15, 20
@@ -239,6 +240,7 @@ VERDICT = (*[(b, T.LongType(), pa.int64()) for b in BASE], ("base_failed", T.Boo
 
 def judge(docs: DataFrame, trees: Trees, prefix: str = "", keep_at: float = KEEP_AT) -> DataFrame:
     """``docs`` with the base counts and the verdict; the new columns' names begin with ``prefix``."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,8 +36,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.kernels import U64, SpanHash, column, slices
-from kinfold.runtime import checkpoint
+from kinfold.llm.kernels import U64, SpanHash, column, compressed, slices
+from kinfold.runtime import bound_batches, checkpoint
 
 LENGTH = 400
 GRAM = 200
@@ -220,10 +220,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        packed = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in column(batch, "text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_key"), column(batch, "doc_id"), pa.array(packed, pa.binary())], ["doc_key", "doc_id", "body"])
+        for part, bodies in compressed(batch, "text"):
+            yield pa.RecordBatch.from_arrays([column(part, "doc_key"), column(part, "doc_id"), bodies], ["doc_key", "doc_id", "body"])
 
 
 CLEANED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
@@ -257,6 +256,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text (cut characters dropped) of every row."""
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     found = docs.select("doc_key", "text").mapInArrow(_occurrences, OCCURRENCES)
     same = ["anchor", "w1", "w2", "n"]

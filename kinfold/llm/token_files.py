@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm.encoding import SLICE, WORDS_FILE, encoder, public_path
 from kinfold.llm.kernels import column, slices
-from kinfold.runtime import scratch_table
+from kinfold.runtime import bound_batches, scratch_table
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
@@ -145,6 +145,7 @@ def _encode_blocks(path: str):
 
 def write_token_table(docs: DataFrame, out: str, tokenizer: str | None = None) -> None:
     """Write ``docs`` (doc_id, text) as blocks in ascending doc_id order under ``out``."""
+    bound_batches(docs.sparkSession)
     # the columns are bound to plain names before the order is set, so that other columns can't clash
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
