@@ -22,7 +22,7 @@ from kinfold.plans.resolve import prepare, resolve, scored_candidates
 from kinfold.sources.delimited import ascii_only, from_table
 
 DOCS = Parameters(beta=8, sigma=50, removeDuplicateTokens=True)
-ITEMS = Parameters(beta=16, sigma=20, removeDuplicateTokens=True, mu=Decimal("0.40"), muIterate=Decimal("0.05"), epsilon=Decimal("0.10"), comparator="ScoringMatrixKris")
+ITEMS = Parameters(beta=16, sigma=20, removeDuplicateTokens=True, mu=Decimal("0.52"), muIterate=Decimal("0.04"), epsilon=Decimal("0.22"), comparator="ScoringMatrixKris")
 STD = replace(ITEMS, comparator="ScoringMatrixStd")
 
 
