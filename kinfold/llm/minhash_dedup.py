@@ -8,9 +8,10 @@ deviations) go; the rest are confirmed on their full sets.
 
 Equal sets are one class. Within a band's bucket, classes are first compared
 with the bucket's hub, the class that meets the most others; links make
-components; then every pair of a bucket whose classes are still in different
-components is compared. A bucket of m near copies thus costs about m
-comparisons, and no link between components is left out.
+components. In buckets whose classes are still in different components, all
+pairs across components are then compared: of small buckets as listed pairs, of
+larger ones within tasks, by pairs of blocks that hand on a spanning forest.
+No link between components is left out, and no bucket's pairs are listed.
 
 Null texts and texts without words have an empty set and link with nothing;
 fewer than five words make one shingle; repeated rows are copies of each other;
@@ -20,6 +21,7 @@ other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ HASHES = BANDS * ROWS
 BITS = 4
 CELLS = 64 // BITS
 MARGIN = 0.25
+SMALL = 16  # classes of a bucket whose pairs are listed
+BLOCK = 1024  # classes of a larger bucket that are compared at once
+DENSE_COLUMNS = 20_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -154,18 +159,101 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = to
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) among ``pairs`` (a, b, key_a, key_b) by the whole texts of ``docs`` (doc_key, text)."""
-    need = pairs.select(F.explode(F.array("key_a", "key_b")).alias("doc_key")).distinct()
+def bodies(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_key, body): the compressed texts of the wanted keys, from a written table."""
     pressed = docs.mapInArrow(_squeeze, "doc_key bigint, body binary").join(need, "doc_key", "left_semi").groupBy("doc_key").agg(F.first("body").alias("body"))
     path = scratch_table(docs.sparkSession, "texts")
     pressed.write.parquet(path)
-    bodies = docs.sparkSession.read.parquet(path)
-    side = lambda s: bodies.select(F.col("doc_key").alias(f"key_{s}"), F.col("body").alias(f"body_{s}"))
+    return docs.sparkSession.read.parquet(path)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among ``pairs`` (a, b, key_a, key_b) by the whole texts of ``docs`` (doc_key, text)."""
+    found = bodies(pairs.select("key_a").unionByName(pairs.select(F.col("key_b").alias("key_a"))).distinct().withColumnRenamed("key_a", "doc_key"), docs)
+    side = lambda s: found.select(F.col("doc_key").alias(f"key_{s}"), F.col("body").alias(f"body_{s}"))
     both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
     return both.select("a", "b", "body_a", "body_b").mapInArrow(_confirm, "a bigint, b bigint")
 
 
+# --- crowded buckets -----------------------------------------------------
+
+
+def _shared(rows: np.ndarray, h: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each of the ``left`` sets shares with each of the ``right`` sets; (rows, h) lists the n sets."""
+    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+    often = times[col] > 1
+    _, col = np.unique(col[often], return_inverse=True)
+    rows = rows[often]
+    out = np.zeros((n, n), dtype=np.float32)
+    width = int(col.max()) + 1 if len(col) else 0
+    order = np.argsort(col, kind="stable")
+    rows, col = rows[order], col[order]
+    if width <= DENSE_COLUMNS:
+        for at in range(0, width, 2048):
+            a, b = np.searchsorted(col, (at, at + 2048))
+            part = np.zeros((n, min(2048, width - at)), dtype=np.float32)
+            part[rows[a:b], col[a:b] - at] = 1
+            out += part @ part.T
+    else:  # long texts: by each shingle's own few rows
+        for p in np.split(rows, np.flatnonzero(np.diff(col)) + 1):
+            out[np.ix_(p, p)] += 1
+    return out[np.ix_(left, right)]
+
+
+def _join_unit(first: np.ndarray, label: np.ndarray, rows: np.ndarray, h: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, between labels, of the links of one unit."""
+    n = len(label)
+    left = np.arange(n) if same else np.flatnonzero(first)
+    right = left if same else np.flatnonzero(~first)
+    size = np.bincount(rows, minlength=n)
+    both = _shared(rows, h, n, left, right)
+    links = 100 * both >= THRESHOLD * (size[left][:, None] + size[right][None, :] - both)
+    names, which = np.unique(label, return_inverse=True)
+    i, j = np.nonzero(links & (which[left][:, None] != which[right][None, :]))
+    ends = np.unique(np.sort(np.stack([which[left][i], which[right][j]], axis=1), axis=1), axis=0)
+    root = np.arange(len(names))
+    while len(ends) and (root[ends[:, 0]] != root[ends[:, 1]]).any():
+        a, b = root[ends[:, 0]], root[ends[:, 1]]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
+
+
+def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between labels, unit by unit; rows come sorted by unit."""
+    opener = zstandard.ZstdDecompressor()
+    key, held = None, []
+
+    def work() -> pa.RecordBatch:
+        first, label = (np.array([r[k] for r in held]) for k in (0, 1))
+        rows, h = distinct(*shingles(*as_bytes(pa.array([opener.decompress(r[2]) for r in held], pa.large_binary()))))
+        a, b = _join_unit(first, label, rows, h, key[1] == key[2])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for *unit, first, label, body in zip(*(column(batch, c).to_pylist() for c in ("band", "one", "two", "first", "label", "body"))):
+            if unit != key:
+                if held:
+                    yield work()
+                key, held = unit, []
+            held.append((first, label, body))
+    if held:
+        yield work()
+
+
+def joined_labels(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between the labels of crowded buckets ``rows`` (band, class, label, member, n), compared in pairs of blocks."""
+    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    mine = F.pmod(F.xxhash64("class", F.lit(5)), blocks).cast("int")
+    units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("one"), F.greatest(mine, o).alias("two")))
+    dealt = rows.join(bodies(rows.select(F.col("member").alias("doc_key")).distinct(), docs).withColumnRenamed("doc_key", "member"), "member")
+    dealt = dealt.withColumn("mine", mine).withColumn("unit", F.explode(units))
+    dealt = dealt.select("band", F.col("unit.one").alias("one"), F.col("unit.two").alias("two"), (F.col("mine") == F.col("unit.one")).alias("first"), "label", "body")
+    return dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_join_units, "a bigint, b bigint")
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_key (a hash of id and text), key, n_shingles, component_id and kept of every row."""
     bound_batches(documents.sparkSession)
@@ -194,18 +282,22 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     labels = checkpoint(connected_components(links, "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
 
     placed = met.join(labels, "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
-    mixed = placed.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    rest = placed.join(mixed.select("band", "main"), "band").join(classes.select("class", "member", "signature"), "class")
-    one = rest.where("label != main").select("band", F.col("class").alias("c1"), F.col("label").alias("l1"), F.col("signature").alias("s1"), F.col("member").alias("m1"))
-    two = rest.select("band", F.col("class").alias("c2"), F.col("label").alias("l2"), F.col("signature").alias("s2"), F.col("member").alias("m2"), (F.col("label") == F.col("main")).alias("in_main"))
-    apart = (F.col("l1") != F.col("l2")) & (F.col("in_main") | (F.col("c1") < F.col("c2"))) & (estimate(F.col("s1"), F.col("s2")) >= floor)
-    first = F.col("c1") < F.col("c2")
-    pick = lambda x, y, as_: F.when(first, F.col(x)).otherwise(F.col(y)).alias(as_)
-    crossed = one.join(two, "band").where(apart).select(pick("c1", "c2", "a"), pick("c2", "c1", "b"), pick("m1", "m2", "key_a"), pick("m2", "m1", "key_b")).distinct()
+    mixed = placed.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1")
+    rest = checkpoint(placed.join(mixed.select("band", "n"), "band").join(classes.select("class", "member", "signature"), "class"))
+    few = rest.where(F.col("n") <= SMALL)
+    one, two = (few.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "label", "signature", "member")]) for s in ("a", "b"))
+    apart = (F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (estimate(F.col("signature_a"), F.col("signature_b")) >= floor)
+    crossed = one.join(two, "band").where(apart).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), F.col("member_a").alias("key_a"), F.col("member_b").alias("key_b")).distinct()
     crossed = checkpoint(crossed.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    more = [labels.select(F.col("class").alias("a"), F.col("label").alias("b"))]
     if not crossed.isEmpty():
-        more = confirmed(crossed, texts)
-        labels = checkpoint(connected_components(more.unionByName(labels.select(F.col("class").alias("a"), F.col("label").alias("b"))), "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
+        more.append(confirmed(crossed, texts))
+    many = rest.where(F.col("n") > SMALL)
+    if not many.isEmpty():
+        more.append(joined_labels(many.select("band", "class", "label", "member", "n"), texts))
+    if len(more) > 1:
+        edges = checkpoint(reduce(DataFrame.unionByName, more))
+        labels = checkpoint(connected_components(edges, "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
 
     lows = classes.select("class", "low").join(labels, "class").groupBy("label").agg(F.min("low").alias("component"))
     found = classes.select("class", "low").join(labels, "class", "left").join(lows, "label", "left").select("class", F.coalesce("component", "low").alias("component"))
