@@ -10,6 +10,7 @@ the whole text; tests hold this against the library.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -60,22 +61,25 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, dtype=U64)  # hashes of the known pieces, ascending
+        self.place = np.zeros(0, dtype=np.int64)  # their numbers
         self.begin = np.zeros(1 << 16, dtype=np.int64)  # of each known piece, in ids
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        for key, e in zip(keys, self.tok.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids, k = e.ids, len(self.known)
-            if k + 2 > len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.begin[k + 1] = self.used
-            self.known[key] = k
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode pieces and give them the next numbers."""
+        k = len(self.keys)
+        got = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        count = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(count.sum()))
+        while k + len(got) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.begin[k + 1 : k + 1 + len(got)] = self.used + np.cumsum(count)
+        self.used += len(flat)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of all rows of the buffer, and where each row's begin."""
@@ -83,15 +87,21 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         hashes, one, which = np.unique(SpanHash(buf).of(starts, ends) ^ (ends - starts).astype(U64), return_index=True, return_inverse=True)
-        if len(self.known) > MAX_PIECES:
+        if len(self.keys) > MAX_PIECES:
             self._forget()
-        keys = hashes.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
+        at = np.searchsorted(self.keys, hashes)
+        new = np.flatnonzero(np.append(self.keys, U64(0))[at] != hashes)
+        last = np.flatnonzero(at == len(self.keys))
+        new = np.union1d(new, last)
+        if len(new):
             raw = buf.tobytes()
             s, e = starts[one[new]].tolist(), ends[one[new]].tolist()
-            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e)])
-        index = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))[which]
+            self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(s, e)])
+            numbers = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.place = np.insert(self.place, at[new], numbers)
+            self.keys = np.insert(self.keys, at[new], hashes[new])
+            at = np.searchsorted(self.keys, hashes)
+        index = self.place[at][which]
         begin = self.begin[index]
         count = self.begin[index + 1] - begin
         before = np.concatenate([[0], np.cumsum(count)])
