@@ -108,15 +108,6 @@ class SpanHash:
         return mix(raw + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return SpanHash(buf).of(starts, ends)
-
-
-def rows_of(counts_before: np.ndarray) -> np.ndarray:
-    """Row number of each item, given how many items lie before each row."""
-    return np.repeat(np.arange(len(counts_before) - 1), np.diff(counts_before))
-
-
 def compressed(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """(rows, their texts as zstd frames), a bounded stretch at a time; null counts as empty."""
     press = zstandard.ZstdCompressor(level=1)
