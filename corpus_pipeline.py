@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from kinfold.llm import minhash_dedup, mixing, packing, quality_rules, secret_scan
 from kinfold.runtime import scratch_table
 
+NEAR = 80  # hundredths of shared shingles from which documents are near duplicates
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -23,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return minhash_dedup.keep_one(docs)
+    return minhash_dedup.keep_one(docs, NEAR)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

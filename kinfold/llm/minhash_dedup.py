@@ -1,9 +1,9 @@
 """MinHash near-dedup with b-bit signatures.
 
-A document's set holds its distinct five-word shingles. ``HASHES`` minima give
-``BANDS`` band keys for candidates, and their low ``BITS`` bits, packed into
-words, give a similarity estimate by counting equal cells and correcting for
-chance. Candidates whose estimate is far below the threshold (six standard
+A document's set holds its distinct five-word shingles. Minima of as many hashes
+as the threshold needs give band keys of ``ROWS`` each for candidates, and their
+low ``BITS`` bits, packed into words, give a similarity estimate by counting
+equal cells and correcting for chance. Candidates whose estimate is far below the threshold (six standard
 deviations) go; the rest are confirmed on their full sets.
 
 Equal sets are one class. Within a band's bucket, classes are first compared
@@ -20,8 +20,8 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,10 @@ from kinfold.runtime import bound_batches, checkpoint, scratch_table
 
 SHINGLE = 5
 THRESHOLD = 85  # in hundredths
-BANDS, ROWS = 20, 4
-HASHES = BANDS * ROWS
+ROWS = 4
 BITS = 4
 CELLS = 64 // BITS
+MISSED = 1e-6  # of the pairs at the threshold, the share that may meet in no band
 MARGIN = 0.25
 SMALL = 16  # classes of a bucket whose pairs are listed
 BLOCK = 1024  # classes of a larger bucket that are compared at once
@@ -46,9 +46,22 @@ DENSE_COLUMNS = 20_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rng = np.random.default_rng(7)
-_FLIP = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
-_TIMES = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | U64(1)
+
+
+def hashes_for(threshold: int) -> int:
+    """How many minima miss few enough pairs at the threshold (in hundredths); whole words of cells."""
+    if not 50 <= threshold <= 100:
+        raise ValueError(f"threshold must be from 50 to 100 hundredths, not {threshold}")
+    n = CELLS
+    while (1 - (threshold / 100) ** ROWS) ** (n // ROWS) >= MISSED and threshold < 100:
+        n += CELLS
+    return n
+
+
+@cache
+def _mixers(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return rng.integers(0, 2**64, hashes, dtype=np.uint64), rng.integers(0, 2**64, hashes, dtype=np.uint64) | U64(1)
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +96,9 @@ def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SKETCH = "doc_id bigint, doc_key bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, signature array<bigint>"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
+    hashes = hashes_for(threshold)
+    flip, times = _mixers(hashes)
     for batch in batches:
         for part, buf, offs in slices(batch, "text"):
             n = part.num_rows
@@ -91,14 +106,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.bincount(row, minlength=n)
             h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             has = np.flatnonzero(size)
-            bands = np.zeros((n, BANDS), np.uint64)
-            packed = np.zeros((n, HASHES // CELLS), np.uint64)
+            bands = np.zeros((n, hashes // ROWS), np.uint64)
+            packed = np.zeros((n, hashes // CELLS), np.uint64)
             if len(has):
                 begin = np.concatenate([[0], np.cumsum(size[has])])[:-1]
                 h1[has] = np.add.reduceat(mix(h), begin)
                 h2[has] = np.add.reduceat(mix(h ^ U64(0x5BD1E995)), begin)
-                for i in range(HASHES):
-                    least = mix(np.minimum.reduceat((h ^ _FLIP[i]) * _TIMES[i], begin))
+                for i in range(hashes):
+                    least = mix(np.minimum.reduceat((h ^ flip[i]) * times[i], begin))
                     bands[has, i // ROWS] = mix(bands[has, i // ROWS] * U64(31) + least + U64(i // ROWS))
                     packed[has, i // CELLS] |= (least & U64((1 << BITS) - 1)) << U64(BITS * (i % CELLS))
             lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (bands, packed)]
@@ -106,7 +121,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "doc_key"), pa.array(size, pa.int64()), *flat, *lists], [x.split()[0] for x in SKETCH.split(", ")])
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Similarity from packed b-bit signatures: equal cells by bit counts, corrected for chance."""
     ones = 0
     for i in range(CELLS):
@@ -119,9 +134,14 @@ def estimate(a: Column, b: Column) -> Column:
             d = d.bitwiseOR(F.shiftrightunsigned(d, s))
         return F.bit_count(d.bitwiseAND(low))
 
-    differ = sum((unequal(a[i], b[i]) for i in range(HASHES // CELLS)), F.lit(0))
+    hashes = hashes_for(threshold)
+    differ = sum((unequal(a[i], b[i]) for i in range(hashes // CELLS)), F.lit(0))
     chance = 2.0**-BITS
-    return ((1 - differ / HASHES) - chance) / (1 - chance)
+    return ((1 - differ / hashes) - chance) / (1 - chance)
+
+
+def _at(work: Callable, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: work(batches, threshold)
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +153,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIRS_AT_ONCE = 1 << 19
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
     """The pairs whose full sets are similar enough."""
     opener = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -153,7 +173,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, h = (np.concatenate([sets[0][i], sets[1][i]]) for i in (0, 1))
             kept = np.bincount(distinct(row, h)[0], minlength=m)  # sizes of the unions
             both = sizes[0] + sizes[1] - kept
-            good = 100 * both >= THRESHOLD * kept
+            good = 100 * both >= threshold * kept
             part = batch.slice(at, m).filter(pa.array(good & (both > 0)))
             yield pa.RecordBatch.from_arrays([column(part, "a"), column(part, "b")], ["a", "b"])
             at = to
@@ -167,12 +187,12 @@ def bodies(need: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) among ``pairs`` (a, b, key_a, key_b) by the whole texts of ``docs`` (doc_key, text)."""
     found = bodies(pairs.select("key_a").unionByName(pairs.select(F.col("key_b").alias("key_a"))).distinct().withColumnRenamed("key_a", "doc_key"), docs)
     side = lambda s: found.select(F.col("doc_key").alias(f"key_{s}"), F.col("body").alias(f"body_{s}"))
     both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(_confirm, "a bigint, b bigint")
+    return both.select("a", "b", "body_a", "body_b").mapInArrow(_at(_confirm, threshold), "a bigint, b bigint")
 
 
 # --- crowded buckets -----------------------------------------------------
@@ -200,14 +220,14 @@ def _shared(rows: np.ndarray, h: np.ndarray, n: int, left: np.ndarray, right: np
     return out[np.ix_(left, right)]
 
 
-def _join_unit(first: np.ndarray, label: np.ndarray, rows: np.ndarray, h: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+def _join_unit(first: np.ndarray, label: np.ndarray, rows: np.ndarray, h: np.ndarray, same: bool, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, between labels, of the links of one unit."""
     n = len(label)
     left = np.arange(n) if same else np.flatnonzero(first)
     right = left if same else np.flatnonzero(~first)
     size = np.bincount(rows, minlength=n)
     both = _shared(rows, h, n, left, right)
-    links = 100 * both >= THRESHOLD * (size[left][:, None] + size[right][None, :] - both)
+    links = 100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both)
     names, which = np.unique(label, return_inverse=True)
     i, j = np.nonzero(links & (which[left][:, None] != which[right][None, :]))
     ends = np.unique(np.sort(np.stack([which[left][i], which[right][j]], axis=1), axis=1), axis=0)
@@ -221,7 +241,7 @@ def _join_unit(first: np.ndarray, label: np.ndarray, rows: np.ndarray, h: np.nda
     return names[moved], names[root[moved]]
 
 
-def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join_units(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
     """Links between labels, unit by unit; rows come sorted by unit."""
     opener = zstandard.ZstdDecompressor()
     key, held = None, []
@@ -229,7 +249,7 @@ def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def work() -> pa.RecordBatch:
         first, label = (np.array([r[k] for r in held]) for k in (0, 1))
         rows, h = distinct(*shingles(*as_bytes(pa.array([opener.decompress(r[2]) for r in held], pa.large_binary()))))
-        a, b = _join_unit(first, label, rows, h, key[1] == key[2])
+        a, b = _join_unit(first, label, rows, h, key[1] == key[2], threshold)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -243,7 +263,7 @@ def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work()
 
 
-def joined_labels(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def joined_labels(rows: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between the labels of crowded buckets ``rows`` (band, class, label, member, n), compared in pairs of blocks."""
     blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
     mine = F.pmod(F.xxhash64("class", F.lit(5)), blocks).cast("int")
@@ -251,14 +271,14 @@ def joined_labels(rows: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = rows.join(bodies(rows.select(F.col("member").alias("doc_key")).distinct(), docs).withColumnRenamed("doc_key", "member"), "member")
     dealt = dealt.withColumn("mine", mine).withColumn("unit", F.explode(units))
     dealt = dealt.select("band", F.col("unit.one").alias("one"), F.col("unit.two").alias("two"), (F.col("mine") == F.col("unit.one")).alias("first"), "label", "body")
-    return dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_join_units, "a bigint, b bigint")
+    return dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_at(_join_units, threshold), "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_key (a hash of id and text), key, n_shingles, component_id and kept of every row."""
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """doc_key (a hash of id and text), key, n_shingles, component_id and kept of every row; ``threshold`` in hundredths."""
     bound_batches(documents.sparkSession)
     docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    sketches = checkpoint(docs.mapInArrow(_sketch, SKETCH).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("h1", "h2", "n_shingles"))))
+    sketches = checkpoint(docs.mapInArrow(_at(_sketch, threshold), SKETCH).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("h1", "h2", "n_shingles"))))
     classes = checkpoint(
         sketches.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"), F.first("doc_key").alias("member"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     )
@@ -270,15 +290,15 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     hubs = ranked.groupBy("band").agg(F.max_by("class", F.struct("degree", "class")).alias("hub"))
     spokes = met.join(hubs, "band").where("class != hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
 
-    floor = THRESHOLD / 100 - MARGIN
+    floor = threshold / 100 - MARGIN
     sides = {s: classes.select(F.col("class").alias(s), F.col("member").alias(f"key_{s}"), F.col("signature").alias(f"sig_{s}")) for s in ("a", "b")}
 
     def likely(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sides["a"], "a").join(sides["b"], "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= floor).select("a", "b", "key_a", "key_b")
+        return pairs.join(sides["a"], "a").join(sides["b"], "b").where(estimate(F.col("sig_a"), F.col("sig_b"), threshold) >= floor).select("a", "b", "key_a", "key_b")
 
     texts = docs.select("doc_key", "text")
     tried = checkpoint(likely(spokes))
-    links = checkpoint(confirmed(tried, texts))
+    links = checkpoint(confirmed(tried, texts, threshold))
     labels = checkpoint(connected_components(links, "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
 
     placed = met.join(labels, "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
@@ -286,15 +306,15 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     rest = checkpoint(placed.join(mixed.select("band", "n"), "band").join(classes.select("class", "member", "signature"), "class"))
     few = rest.where(F.col("n") <= SMALL)
     one, two = (few.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "label", "signature", "member")]) for s in ("a", "b"))
-    apart = (F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (estimate(F.col("signature_a"), F.col("signature_b")) >= floor)
+    apart = (F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (estimate(F.col("signature_a"), F.col("signature_b"), threshold) >= floor)
     crossed = one.join(two, "band").where(apart).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), F.col("member_a").alias("key_a"), F.col("member_b").alias("key_b")).distinct()
     crossed = checkpoint(crossed.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     more = [labels.select(F.col("class").alias("a"), F.col("label").alias("b"))]
     if not crossed.isEmpty():
-        more.append(confirmed(crossed, texts))
+        more.append(confirmed(crossed, texts, threshold))
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
-        more.append(joined_labels(many.select("band", "class", "label", "member", "n"), texts))
+        more.append(joined_labels(many.select("band", "class", "label", "member", "n"), texts, threshold))
     if len(more) > 1:
         edges = checkpoint(reduce(DataFrame.unionByName, more))
         labels = checkpoint(connected_components(edges, "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
@@ -308,11 +328,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: shingle counts and components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("doc_key")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=THRESHOLD).drop("doc_key")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row of each group of near duplicates: its smallest doc_id (rows that repeat it fall to one)."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_key").alias("__key")).distinct()
+    kept = near_duplicates(docs, threshold=threshold).where("kept").select(F.col("doc_key").alias("__key")).distinct()
     once = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).join(kept, "__key", "left_semi")
     return once.dropDuplicates(["__key"]).select(*docs.columns)

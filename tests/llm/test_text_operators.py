@@ -224,6 +224,19 @@ def test_minhash_dedup(spark):
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_from_0_80(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(54)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:25], "changed", *words[26:]])), (2, " ".join([*words[:10], "one", *words[11:40], "two", *words[41:]]))]
+    a, b, c = (set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows)
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) and 100 * len(a & c) < 80 * len(a | c)
+    docs = table(spark, rows)
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one(docs).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
+    assert minhash_dedup.hashes_for(85) == 80 and (1 - 0.8**4) ** (minhash_dedup.hashes_for(80) // 4) < 1e-6
+
+
 @pytest.mark.parametrize("small,block,dense", [(16, 1024, 20_000), (1, 3, 20_000), (1, 4, 0)])
 def test_links_missed_by_the_hub_are_found(spark, monkeypatch, small, block, dense):
     """A chain in one bucket: neighbours are near, the ends are not."""
