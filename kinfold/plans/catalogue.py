@@ -1,15 +1,18 @@
 """The registered queries of the resolution engine, with their DuckDB SQL.
 
-Two reference views: all ``documents`` (whole texts) for tokenization,
-frequencies and blocking, and all ``benchmark`` items (whole texts) where pairs
-are scored and resolved.
+Three reference views. The queries with SQL see what DuckDB can follow: all
+``documents`` for tokenization, frequencies and blocking, and all ``benchmark``
+items where pairs are scored and resolved, their whole texts with other
+characters than ASCII letters, digits and _ as blanks. The ``documents_``
+queries run every operator over the whole raw texts of all ``documents``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from decimal import Decimal
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ from kinfold.sources.delimited import ascii_only, from_table
 DOCS = Parameters(beta=8, sigma=50, removeDuplicateTokens=True)
 ITEMS = Parameters(beta=16, sigma=20, removeDuplicateTokens=True, mu=Decimal("0.52"), muIterate=Decimal("0.04"), epsilon=Decimal("0.22"), comparator="ScoringMatrixKris")
 STD = replace(ITEMS, comparator="ScoringMatrixStd")
+WHOLE = replace(ITEMS, beta=DOCS.beta, sigma=DOCS.sigma)
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,173 +38,209 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     return from_table(spark.read.parquet(f"{sf}/benchmark.parquet"), F.col("item_id"), ascii_only(F.col("text")))
 
 
-def _doc_refs(spark, sf):
-    return frequency.reform(frequency.tokens(documents(spark, sf), DOCS))
+def whole_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return from_table(spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id"), F.col("text"))
 
 
-def _item_refs(spark, sf):
-    return frequency.reform(frequency.tokens(items(spark, sf), ITEMS))
+def item_truth(spark: SparkSession, sf: str) -> DataFrame:
+    item = F.col("item_id")
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(item.cast("string").alias("ref_id"), F.floor(item / 4).cast("string").alias("truth_id"))
+
+
+def copy_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with identical texts are one, named by the smallest id."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))
+    least = docs.groupBy("text").agg(F.min("doc_id").alias("least"))
+    return docs.join(least, "text").select(F.col("doc_id").cast("string").alias("ref_id"), F.col("least").cast("string").alias("truth_id"))
+
+
+@dataclass(frozen=True)
+class View:
+    """References of a table, the parameters they are resolved with, and their truth."""
+
+    references: Callable[[SparkSession, str], DataFrame]
+    p: Parameters
+    truth: Callable[[SparkSession, str], DataFrame] | None = None
+
+
+DOCS_VIEW = View(documents, DOCS)
+ITEMS_VIEW = View(items, ITEMS, item_truth)
+WHOLE_VIEW = View(whole_documents, WHOLE, copy_truth)
+
 
+def _refs(v, spark, sf):
+    return frequency.reform(frequency.tokens(v.references(spark, sf), v.p))
 
-def tokenize(tokenizer: str) -> Callable:
-    return lambda spark, sf: frequency.tokens(documents(spark, sf), replace(DOCS, tokenizerType=tokenizer))
 
+def tokenize(v: View, tokenizer: str) -> Callable:
+    return lambda spark, sf: frequency.tokens(v.references(spark, sf), replace(v.p, tokenizerType=tokenizer))
 
-def token_frequency(spark, sf):
-    return frequency.token_frequency(frequency.tokens(documents(spark, sf), DOCS))
 
+def token_frequency(v, spark, sf):
+    return frequency.token_frequency(frequency.tokens(v.references(spark, sf), v.p))
 
-def tokenization_stats(spark, sf):
-    return frequency.tokenization_stats(documents(spark, sf), DOCS)
 
+def tokenization_stats(v, spark, sf):
+    return frequency.tokenization_stats(v.references(spark, sf), v.p)
 
-def frequency_stats(spark, sf):
-    return frequency.frequency_stats(token_frequency(spark, sf)).select("max_freq", F.round("mean_freq", 6).alias("mean_freq"), F.round("stdev_freq", 6).alias("stdev_freq"))
 
+def frequency_stats(v, spark, sf):
+    return frequency.frequency_stats(token_frequency(v, spark, sf)).select("max_freq", F.round("mean_freq", 6).alias("mean_freq"), F.round("stdev_freq", 6).alias("stdev_freq"))
 
-def reformed_refs(spark, sf):
-    return _doc_refs(spark, sf).select("ref_id", F.explode("toks").alias("t")).select("ref_id", "t.pos", "t.tok", "t.freq")
 
+def reformed_refs(v, spark, sf):
+    return _refs(v, spark, sf).select("ref_id", F.explode("toks").alias("t")).select("ref_id", "t.pos", "t.tok", "t.freq")
 
-def blocking_tokens(spark, sf):
-    return blocking.blocking_tokens(_doc_refs(spark, sf), DOCS).select("ref_id", "tok", "times")
 
+def blocking_tokens(v, spark, sf):
+    return blocking.blocking_tokens(_refs(v, spark, sf), v.p).select("ref_id", "tok", "times")
 
-def block_keys_single(spark, sf):
-    return blocking.block_keys_single(_doc_refs(spark, sf), DOCS).select("t1", "ref_id")
 
+def block_keys_single(v, spark, sf):
+    return blocking.block_keys_single(_refs(v, spark, sf), v.p).select("t1", "ref_id")
 
-def block_keys_pairs(spark, sf):
-    return blocking.block_keys_pairs(_item_refs(spark, sf), ITEMS)
 
+def block_keys_pairs(v, spark, sf):
+    return blocking.block_keys_pairs(_refs(v, spark, sf), v.p)
 
-def candidates(pairs: bool) -> Callable:
-    return lambda spark, sf: blocking.candidate_pairs(_doc_refs(spark, sf), replace(DOCS, blockByPairs=pairs))
 
+def candidates(v: View, pairs: bool) -> Callable:
+    return lambda spark, sf: blocking.candidate_pairs(_refs(v, spark, sf), replace(v.p, blockByPairs=pairs))
 
-def blocking_stats(spark, sf):
-    return blocking.blocking_stats(_doc_refs(spark, sf), DOCS)
 
+def blocking_stats(v, spark, sf):
+    return blocking.blocking_stats(_refs(v, spark, sf), v.p)
 
-def stopword_filter(spark, sf):
-    return _item_refs(spark, sf).select("ref_id", F.posexplode(scoring_tokens(F.col("toks"), ITEMS)).alias("at", "tok")).select("ref_id", (F.col("at") + 1).alias("pos"), "tok")
 
+def stopword_filter(v, spark, sf):
+    return _refs(v, spark, sf).select("ref_id", F.posexplode(scoring_tokens(F.col("toks"), v.p)).alias("at", "tok")).select("ref_id", (F.col("at") + 1).alias("pos"), "tok")
 
-def token_pair_similarity(spark, sf):
+
+def token_pair_similarity(v, spark, sf):
     """Similarities between the distinct compared tokens of candidate pairs."""
-    refs = prepare(items(spark, sf), ITEMS)
-    both = scoring.pair_refs(blocking.candidate_pairs(refs, ITEMS), refs, ITEMS)
+    refs = prepare(v.references(spark, sf), v.p)
+    both = scoring.pair_refs(blocking.candidate_pairs(refs, v.p), refs, v.p)
     pairs = both.select(F.explode("l1").alias("t1"), "l2").select("t1", F.explode("l2").alias("t2")).distinct()
-    p = replace(ITEMS, matrixNumTokenRule=True, matrixInitialRule=True)
+    p = replace(v.p, matrixNumTokenRule=True, matrixInitialRule=True)
     return pairs.select("t1", "t2", F.round(token_similarity(p)(F.col("t1"), F.col("t2")), 6).alias("similarity"))
 
 
-def score(comparator: str) -> Callable:
-    p = replace(ITEMS, comparator=comparator)
-    return lambda spark, sf: scored_candidates(prepare(items(spark, sf), p), p).withColumn("score", F.round("score", 6))
+def score(v: View, comparator: str) -> Callable:
+    p = replace(v.p, comparator=comparator)
+    return lambda spark, sf: scored_candidates(prepare(v.references(spark, sf), p), p).withColumn("score", F.round("score", 6))
 
 
-def _first_pass(spark, sf):
-    refs = prepare(items(spark, sf), ITEMS)
-    links = scoring.links(scored_candidates(refs, ITEMS), float(ITEMS.mu))
+def _first_pass(v, spark, sf):
+    refs = prepare(v.references(spark, sf), v.p)
+    links = scoring.links(scored_candidates(refs, v.p), float(v.p.mu))
     return refs, links
 
 
-def linked_pairs(spark, sf):
-    return _first_pass(spark, sf)[1].select("r1", "r2", F.round("score", 6).alias("score"))
+def linked_pairs(v, spark, sf):
+    return _first_pass(v, spark, sf)[1].select("r1", "r2", F.round("score", 6).alias("score"))
 
 
-def connected_components(spark, sf):
-    return evaluate.clusters(_first_pass(spark, sf)[1])
+def connected_components(v, spark, sf):
+    return evaluate.clusters(_first_pass(v, spark, sf)[1])
 
 
-def cluster_members(spark, sf):
-    refs, links = _first_pass(spark, sf)
+def cluster_members(v, spark, sf):
+    refs, links = _first_pass(v, spark, sf)
     return evaluate.clusters(links).join(refs, "ref_id").select("ref_id", "cluster_id", F.size("toks").alias("n_tokens"))
 
 
-def unprocessed_refs(spark, sf):
-    refs, links = _first_pass(spark, sf)
+def unprocessed_refs(v, spark, sf):
+    refs, links = _first_pass(v, spark, sf)
     return evaluate.unprocessed(refs, evaluate.clusters(links)).select("ref_id", F.size("toks").alias("n_tokens"))
 
 
-def _quality(spark, sf):
-    refs, links = _first_pass(spark, sf)
+def _quality(v, spark, sf):
+    refs, links = _first_pass(v, spark, sf)
     members = evaluate.clusters(links)
-    return refs, members, evaluate.cluster_quality(members, refs, float(ITEMS.epsilon))
+    return refs, members, evaluate.cluster_quality(members, refs, float(v.p.epsilon))
 
 
-def cluster_quality(spark, sf):
-    q = _quality(spark, sf)[2]
+def cluster_quality(v, spark, sf):
+    q = _quality(v, spark, sf)[2]
     return q.select("cluster_id", "n_refs", "n_tokens", F.round("entropy", 6).alias("entropy"), F.round("quality", 6).alias("quality"), "is_good")
 
 
-def split(good: bool) -> Callable:
+def split(v: View, good: bool) -> Callable:
     def query(spark, sf):
-        _, members, q = _quality(spark, sf)
+        _, members, q = _quality(v, spark, sf)
         return evaluate.split_members(members, q, good)
 
     return query
 
 
-def linked_index_one_pass(spark, sf):
-    refs, members, q = _quality(spark, sf)
+def linked_index_one_pass(v, spark, sf):
+    refs, members, q = _quality(v, spark, sf)
     return report.linked_index(refs, evaluate.split_members(members, q, True))
 
 
-def linked_index(spark, sf):
-    return resolve(items(spark, sf), ITEMS).index
+def linked_index(v, spark, sf):
+    return resolve(v.references(spark, sf), v.p).index
 
 
-def cluster_profile(spark, sf):
-    return report.cluster_profile(linked_index_one_pass(spark, sf))
+def cluster_profile(v, spark, sf):
+    return report.cluster_profile(linked_index_one_pass(v, spark, sf))
 
 
-def er_matrix(spark, sf):
-    item = F.col("item_id")
-    truth = spark.read.parquet(f"{sf}/benchmark.parquet").select(item.cast("string").alias("ref_id"), F.floor(item / 4).cast("string").alias("truth_id"))
-    return report.er_matrix(linked_index_one_pass(spark, sf), truth)
+def er_matrix(v, spark, sf):
+    return report.er_matrix(linked_index_one_pass(v, spark, sf), v.truth(spark, sf))
 
 
-def run_stats(spark, sf):
-    return resolve(items(spark, sf), ITEMS).run_stats(spark)
+def run_stats(v, spark, sf):
+    return resolve(v.references(spark, sf), v.p).run_stats(spark)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def _queries(tokens: View, pairs: View) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The operators up to candidates over ``tokens``, the others over ``pairs``."""
     return {
-        "tokenize_splitter": tokenize("Splitter"),
-        "tokenize_compress": tokenize("Compress"),
-        "token_frequency": token_frequency,
-        "tokenization_stats": tokenization_stats,
-        "token_frequency_stats": frequency_stats,
-        "reformed_refs": reformed_refs,
-        "blocking_tokens": blocking_tokens,
-        "block_keys_single": block_keys_single,
-        "block_keys_pairs": block_keys_pairs,
-        "candidate_pairs_single": candidates(False),
-        "candidate_pairs_by_pairs": candidates(True),
-        "blocking_stats": blocking_stats,
-        "stopword_filter": stopword_filter,
-        "token_pair_similarity": token_pair_similarity,
-        "score_std": score("ScoringMatrixStd"),
-        "score_kris": score("ScoringMatrixKris"),
-        "score_cosine": score("Cosine"),
-        "score_monge_elkan": score("MongeElkan"),
-        "linked_pairs": linked_pairs,
-        "connected_components": connected_components,
-        "cluster_members": cluster_members,
-        "unprocessed_refs": unprocessed_refs,
-        "cluster_quality": cluster_quality,
-        "good_clusters": split(True),
-        "bad_clusters": split(False),
-        "linked_index_one_pass": linked_index_one_pass,
-        "linked_index": linked_index,
-        "cluster_profile": cluster_profile,
-        "er_matrix": er_matrix,
-        "run_stats": run_stats,
+        "tokenize_splitter": tokenize(tokens, "Splitter"),
+        "tokenize_compress": tokenize(tokens, "Compress"),
+        "token_frequency": partial(token_frequency, tokens),
+        "tokenization_stats": partial(tokenization_stats, tokens),
+        "token_frequency_stats": partial(frequency_stats, tokens),
+        "reformed_refs": partial(reformed_refs, tokens),
+        "blocking_tokens": partial(blocking_tokens, tokens),
+        "block_keys_single": partial(block_keys_single, tokens),
+        "block_keys_pairs": partial(block_keys_pairs, pairs),
+        "candidate_pairs_single": candidates(tokens, False),
+        "candidate_pairs_by_pairs": candidates(tokens, True),
+        "blocking_stats": partial(blocking_stats, tokens),
+        "stopword_filter": partial(stopword_filter, pairs),
+        "token_pair_similarity": partial(token_pair_similarity, pairs),
+        "score_std": score(pairs, "ScoringMatrixStd"),
+        "score_kris": score(pairs, "ScoringMatrixKris"),
+        "score_cosine": score(pairs, "Cosine"),
+        "score_monge_elkan": score(pairs, "MongeElkan"),
+        "linked_pairs": partial(linked_pairs, pairs),
+        "connected_components": partial(connected_components, pairs),
+        "cluster_members": partial(cluster_members, pairs),
+        "unprocessed_refs": partial(unprocessed_refs, pairs),
+        "cluster_quality": partial(cluster_quality, pairs),
+        "good_clusters": split(pairs, True),
+        "bad_clusters": split(pairs, False),
+        "linked_index_one_pass": partial(linked_index_one_pass, pairs),
+        "linked_index": partial(linked_index, pairs),
+        "cluster_profile": partial(cluster_profile, pairs),
+        "er_matrix": partial(er_matrix, pairs),
+        "run_stats": partial(run_stats, pairs),
     }
 
 
+RESOLUTION = (
+    "block_keys_pairs", "stopword_filter", "token_pair_similarity", "score_std", "score_kris", "score_cosine", "score_monge_elkan", "linked_pairs", "connected_components", "cluster_members",
+    "unprocessed_refs", "cluster_quality", "good_clusters", "bad_clusters", "linked_index_one_pass", "linked_index", "cluster_profile", "er_matrix", "run_stats",
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    whole = _queries(WHOLE_VIEW, WHOLE_VIEW)
+    return _queries(DOCS_VIEW, ITEMS_VIEW) | {f"documents_{name}": whole[name] for name in RESOLUTION}
+
+
 # --- DuckDB SQL ----------------------------------------------------------
 
 
