@@ -230,15 +230,9 @@ def _queries(tokens: View, pairs: View) -> dict[str, Callable[[SparkSession, str
     }
 
 
-RESOLUTION = (
-    "block_keys_pairs", "stopword_filter", "token_pair_similarity", "score_std", "score_kris", "score_cosine", "score_monge_elkan", "linked_pairs", "connected_components", "cluster_members",
-    "unprocessed_refs", "cluster_quality", "good_clusters", "bad_clusters", "linked_index_one_pass", "linked_index", "cluster_profile", "er_matrix", "run_stats",
-)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     whole = _queries(WHOLE_VIEW, WHOLE_VIEW)
-    return _queries(DOCS_VIEW, ITEMS_VIEW) | {f"documents_{name}": whole[name] for name in RESOLUTION}
+    return _queries(DOCS_VIEW, ITEMS_VIEW) | {f"documents_{name}": query for name, query in whole.items() if name != "tokenize_compress"}
 
 
 # --- DuckDB SQL ----------------------------------------------------------

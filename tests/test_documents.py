@@ -110,5 +110,21 @@ def test_documents_resolution_loop(spark, corpus):
     assert stats[0].candidate_pairs == len(pairs) and stats[0].links == sum(_score("score_kris", compared[a], compared[b]) >= P["mu"] for a, b in pairs)
 
 
-def test_every_operator_sees_documents():
-    assert not {n for n in __spark_entry__.catalogue.RESOLUTION if f"documents_{n}" not in QUERIES}
+def test_tokens_of_documents_keep_letters_outside_ascii(spark, corpus):
+    sf, docs = corpus
+    lists = _lists(docs)
+    assert any(re.search("[^\x00-\x7f]", t) for l in lists.values() for t in l)
+    toks = [(r, i, t) for r, l in lists.items() for i, t in enumerate(l, 1)]
+    freq = Counter(t for _, _, t in toks)
+    assert rows(QUERIES["documents_tokenize_splitter"](spark, sf)) == sorted(toks, key=repr)
+    assert dict(rows(QUERIES["documents_token_frequency"](spark, sf))) == freq
+    assert rows(QUERIES["documents_reformed_refs"](spark, sf)) == sorted(((r, i, t, freq[t]) for r, i, t in toks), key=repr)
+    named = sorted((r, t) for r, _, t in toks if 2 <= freq[t] <= P["beta"] and len(t) >= P["length"] and not re.fullmatch("[0-9]+", t))
+    assert sorted((r.ref_id, r.tok) for r in QUERIES["documents_blocking_tokens"](spark, sf).collect()) == named
+    assert sorted((r.ref_id, r.t1) for r in QUERIES["documents_block_keys_single"](spark, sf).collect()) == named
+    for name, least in (("single", 1), ("by_pairs", 2)):
+        assert rows(QUERIES[f"documents_candidate_pairs_{name}"](spark, sf)) == sorted(_candidates(lists, least)[0])
+    stats = QUERIES["documents_tokenization_stats"](spark, sf).first()
+    assert (stats.refs_read, stats.tokens_left, stats.unique_tokens) == (len(docs), len(toks), len(freq))
+    assert QUERIES["documents_token_frequency_stats"](spark, sf).first().max_freq == max(freq.values())
+    assert QUERIES["documents_blocking_stats"](spark, sf).first().unique_pairs == len(_candidates(lists)[0])
