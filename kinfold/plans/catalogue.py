@@ -232,7 +232,7 @@ def _queries(tokens: View, pairs: View) -> dict[str, Callable[[SparkSession, str
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     whole = _queries(WHOLE_VIEW, WHOLE_VIEW)
-    return _queries(DOCS_VIEW, ITEMS_VIEW) | {f"documents_{name}": query for name, query in whole.items() if name != "tokenize_compress"}
+    return _queries(DOCS_VIEW, ITEMS_VIEW) | {f"documents_{name}": query for name, query in whole.items()}
 
 
 # --- DuckDB SQL ----------------------------------------------------------

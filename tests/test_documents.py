@@ -128,3 +128,10 @@ def test_tokens_of_documents_keep_letters_outside_ascii(spark, corpus):
     assert (stats.refs_read, stats.tokens_left, stats.unique_tokens) == (len(docs), len(toks), len(freq))
     assert QUERIES["documents_token_frequency_stats"](spark, sf).first().max_freq == max(freq.values())
     assert QUERIES["documents_blocking_stats"](spark, sf).first().unique_pairs == len(_candidates(lists)[0])
+
+
+def test_compress_joins_parts_of_tokens_of_documents(spark, corpus):
+    sf, docs = corpus
+    got = rows(QUERIES["documents_tokenize_compress"](spark, sf))
+    assert got == sorted(((r, i, t) for r, l in _lists(docs, compress=True).items() for i, t in enumerate(l, 1)), key=repr)
+    assert {"490462048", "ITS", "ANNEMARIE", "NAÏVEÉTÉ"} <= {t for _, _, t in got} and got != rows(QUERIES["documents_tokenize_splitter"](spark, sf))
