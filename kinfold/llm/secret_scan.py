@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinfold.runtime import scratch_table
+
 WORD = "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
 
 
@@ -44,6 +46,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 RULE_VERSION = "2"
+LEDGER = "spark.kinfold.secretLedger"  # names the ledger that registered runs go on with
 SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
 
@@ -107,9 +110,14 @@ class BlobLedger:
         return done.select("blob", "spans").join(here, "blob", "left_semi")
 
 
+def run_ledger(spark: SparkSession) -> BlobLedger:
+    """The ledger that the session names, else a fresh one in the shared folder."""
+    return BlobLedger(spark, spark.conf.get(LEDGER, None) or scratch_table(spark, "ledger"))
+
+
 def scan_secrets(versions: DataFrame, text: str = "text", ledger: BlobLedger | None = None, spans: str = "spans") -> DataFrame:
     """``versions`` with a column ``spans`` of array<struct<s, k, e>> (k indexes ``RULES``)."""
-    ledger = ledger or BlobLedger(versions.sparkSession)
+    ledger = ledger or run_ledger(versions.sparkSession)
     found = ledger.scan(versions, text).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     marked = versions.withColumn("__blob", address(F.col(text)))
     return marked.join(found, "__blob", "left").withColumn(spans, F.coalesce("__spans", F.array().cast(SPAN))).drop("__blob", "__spans")

@@ -290,6 +290,26 @@ def test_secret_scan(spark, tmp_path):
     assert secret_scan.scan_secrets(docs.limit(0), spans="found").count() == 0
 
 
+def test_registered_runs_go_on_with_the_ledger(spark, tmp_path):
+    import corpus_pipeline
+
+    path, docs = f"file://{tmp_path}/ledger", table(spark, SECRETS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    fresh = sorted(map(tuple, secret_scan.query(spark, str(tmp_path)).collect()), key=repr)
+    spark.conf.set(secret_scan.LEDGER, path)
+    try:
+        check(secret_scan.query(spark, str(tmp_path)), fresh)
+        rows = spark.read.parquet(path)
+        assert {r.rules for r in rows.collect()} == {secret_scan.RULE_VERSION} and rows.count() == len({t or "" for _, t in SECRETS})
+        corpus_pipeline.secrets(spark, docs, "").collect()
+        assert spark.read.parquet(path).count() == rows.count()  # the stage found all blobs seen
+        marked = docs.select(secret_scan.address(F.lit("nothing here")).alias("blob"), F.lit(secret_scan.RULE_VERSION).alias("rules"), F.expr("array(named_struct('s', 0L, 'k', 1, 'e', 7L))").alias("spans")).limit(1)
+        marked.write.mode("append").parquet(path)
+        assert corpus_pipeline.secrets(spark, table(spark, [(1, "nothing here")]), "").first().text == "[secret] here"  # findings come from ledger rows
+    finally:
+        spark.conf.unset(secret_scan.LEDGER)
+
+
 @functools.lru_cache
 def _library(name):
     from tokenizers import Tokenizer
