@@ -274,8 +274,8 @@ def joined_labels(rows: DataFrame, docs: DataFrame, threshold: int = THRESHOLD)
     return dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_at(_join_units, threshold), "a bigint, b bigint")
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """doc_key (a hash of id and text), key, n_shingles, component_id and kept of every row; ``threshold`` in hundredths."""
+def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """doc_key (a hash of id and text), key, n_shingles, component_id, kept and group (null for an empty set) of every row; ``threshold`` in hundredths."""
     bound_batches(documents.sparkSession)
     docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
     sketches = checkpoint(docs.mapInArrow(_at(_sketch, threshold), SKETCH).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("h1", "h2", "n_shingles"))))
@@ -320,10 +320,15 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         labels = checkpoint(connected_components(edges, "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
 
     lows = classes.select("class", "low").join(labels, "class").groupBy("label").agg(F.min("low").alias("component"))
-    found = classes.select("class", "low").join(labels, "class", "left").join(lows, "label", "left").select("class", F.coalesce("component", "low").alias("component"))
+    found = classes.select("class", "low").join(labels, "class", "left").join(lows, "label", "left").select("class", F.coalesce("component", "low").alias("component"), F.coalesce("label", "class").alias("group"))
     out = sketches.select("doc_id", "doc_key", "n_shingles", "class").join(found, "class", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_key", F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_key", F.col("doc_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "group")
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """doc_key (a hash of id and text), key, n_shingles, component_id and kept of every row; ``threshold`` in hundredths."""
+    return grouped(documents, key, text, threshold).drop("group")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +337,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each group of near duplicates: its smallest doc_id (rows that repeat it fall to one)."""
-    kept = near_duplicates(docs, threshold=threshold).where("kept").select(F.col("doc_key").alias("__key")).distinct()
+    """One row of each group of near duplicates: of its smallest doc_id, a null one only if there is no other. Rows without words stay, repeated ones once."""
+    rows = grouped(docs, threshold=threshold)
+    first = F.min_by("doc_key", F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("__key")
+    kept = rows.groupBy(F.col("group").isNull(), F.coalesce("group", "doc_key")).agg(first).select("__key")
     once = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).join(kept, "__key", "left_semi")
     return once.dropDuplicates(["__key"]).select(*docs.columns)

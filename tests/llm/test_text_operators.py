@@ -237,6 +237,15 @@ def test_pipeline_drops_near_copies_from_0_80(spark):
     assert minhash_dedup.hashes_for(85) == 80 and (1 - 0.8**4) ** (minhash_dedup.hashes_for(80) // 4) < 1e-6
 
 
+def test_one_row_of_a_group_with_null_and_repeated_ids(spark):
+    words = [f"w{i}" for i in range(200)]
+    text, near, other = " ".join(words), " ".join([*words[:9], "changed", *words[10:]]), " ".join(f"v{i}" for i in range(30))
+    docs = table(spark, [(5, text), (5, near), (6, near), (None, text), (None, near), (None, other), (None, other), (7, ""), (8, None), (None, " "), (5, "apart from the others")])
+    got = sorted(((r.doc_id, r.text) for r in minhash_dedup.keep_one(docs).collect()), key=repr)
+    assert [(d, t) for d, t in got if t in (text, near)] in ([(5, text)], [(5, near)])
+    assert [(d, t) for d, t in got if t not in (text, near)] == sorted([(None, other), (7, ""), (8, None), (None, " "), (5, "apart from the others")], key=repr)
+
+
 @pytest.mark.parametrize("small,block,dense", [(16, 1024, 20_000), (1, 3, 20_000), (1, 4, 0)])
 def test_links_missed_by_the_hub_are_found(spark, monkeypatch, small, block, dense):
     """A chain in one bucket: neighbours are near, the ends are not."""
