@@ -3,15 +3,16 @@
 A document's set holds its distinct five-word shingles. Minima of as many hashes
 as the threshold needs give band keys of ``ROWS`` each for candidates, and their
 low ``BITS`` bits, packed into words, give a similarity estimate by counting
-equal cells and correcting for chance. Candidates whose estimate is far below the threshold (six standard
-deviations) go; the rest are confirmed on their full sets.
+equal cells and correcting for chance. Candidates whose estimate is far below
+the threshold (six standard deviations) go; the rest are confirmed on their
+full sets.
 
 Equal sets are one class. Within a band's bucket, classes are first compared
 with the bucket's hub, the class that meets the most others; links make
 components. In buckets whose classes are still in different components, all
 pairs across components are then compared: of small buckets as listed pairs, of
 larger ones within tasks, by pairs of blocks that hand on a spanning forest.
-No link between components is left out, and no bucket's pairs are listed.
+Blocks are bounded by classes and by shingles. No link between components is left out, and no bucket's pairs are listed.
 
 Null texts and texts without words have an empty set and link with nothing;
 fewer than five words make one shingle; repeated rows are copies of each other;
@@ -29,12 +30,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.kernels import U64, SpanHash, as_bytes, column, compressed, mix, slices, words
+from kinfold.llm.kernels import SLICE_BYTES, U64, SpanHash, as_bytes, column, compressed, mix, row_key, slices, words
 from kinfold.operators.components import connected_components
 from kinfold.runtime import bound_batches, checkpoint, scratch_table
 
 SHINGLE = 5
-THRESHOLD = 85  # in hundredths
+THRESHOLD = 80  # in hundredths, unless the caller gives another
+CONTRACT = 85  # what the registered query takes
 ROWS = 4
 BITS = 4
 CELLS = 64 // BITS
@@ -42,7 +44,8 @@ MISSED = 1e-6  # of the pairs at the threshold, the share that may meet in no ba
 MARGIN = 0.25
 SMALL = 16  # classes of a bucket whose pairs are listed
 BLOCK = 1024  # classes of a larger bucket that are compared at once
-DENSE_COLUMNS = 20_000
+BLOCK_SHINGLES = 500_000  # and their shingles, but for a class that has more alone
+FEW_ROWS = 24  # a shingle of so many sets adds its pairs one by one
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -93,7 +96,7 @@ def distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[fresh], h[fresh]
 
 
-SKETCH = "doc_id bigint, doc_key bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, signature array<bigint>"
+SKETCH = "doc_id bigint, doc_key binary, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, signature array<bigint>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -> I
 
 def bodies(need: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_key, body): the compressed texts of the wanted keys, from a written table."""
-    pressed = docs.mapInArrow(_squeeze, "doc_key bigint, body binary").join(need, "doc_key", "left_semi").groupBy("doc_key").agg(F.first("body").alias("body"))
+    pressed = docs.mapInArrow(_squeeze, "doc_key binary, body binary").join(need, "doc_key", "left_semi").groupBy("doc_key").agg(F.first("body").alias("body"))
     path = scratch_table(docs.sparkSession, "texts")
     pressed.write.parquet(path)
     return docs.sparkSession.read.parquet(path)
@@ -192,7 +195,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
     found = bodies(pairs.select("key_a").unionByName(pairs.select(F.col("key_b").alias("key_a"))).distinct().withColumnRenamed("key_a", "doc_key"), docs)
     side = lambda s: found.select(F.col("doc_key").alias(f"key_{s}"), F.col("body").alias(f"body_{s}"))
     both = pairs.join(side("a"), "key_a").join(side("b"), "key_b")
-    return both.select("a", "b", "body_a", "body_b").mapInArrow(_at(_confirm, threshold), "a bigint, b bigint")
+    return both.select("a", "b", "body_a", "body_b").mapInArrow(_at(_confirm, threshold), "a binary, b binary")
 
 
 # --- crowded buckets -----------------------------------------------------
@@ -205,18 +208,23 @@ def _shared(rows: np.ndarray, h: np.ndarray, n: int, left: np.ndarray, right: np
     _, col = np.unique(col[often], return_inverse=True)
     rows = rows[often]
     out = np.zeros((n, n), dtype=np.float32)
-    width = int(col.max()) + 1 if len(col) else 0
     order = np.argsort(col, kind="stable")
-    rows, col = rows[order], col[order]
-    if width <= DENSE_COLUMNS:
-        for at in range(0, width, 2048):
-            a, b = np.searchsorted(col, (at, at + 2048))
-            part = np.zeros((n, min(2048, width - at)), dtype=np.float32)
-            part[rows[a:b], col[a:b] - at] = 1
-            out += part @ part.T
-    else:  # long texts: by each shingle's own few rows
-        for p in np.split(rows, np.flatnonzero(np.diff(col)) + 1):
-            out[np.ix_(p, p)] += 1
+    rows = rows[order]
+    size = np.bincount(col)
+    begin = np.cumsum(size) - size
+    for k in range(2, FEW_ROWS + 1):  # shingles of k sets: their pairs
+        at = begin[size == k]
+        for part in np.array_split(at, max(1, len(at) * k * k >> 21)):
+            held = rows[part[:, None] + np.arange(k)]
+            np.add.at(out, (held[:, :, None], held[:, None, :]), np.float32(1))
+    wide = np.flatnonzero(size > FEW_ROWS)
+    for at in range(0, len(wide), 2048):  # the others: products of stripes of the incidence matrix
+        part = wide[at : at + 2048]
+        cell = np.repeat(np.arange(len(part)), size[part])
+        held = rows[np.arange(len(cell)) + np.repeat(begin[part] - (np.cumsum(size[part]) - size[part]), size[part])]
+        stripe = np.zeros((n, len(part)), dtype=np.float32)
+        stripe[held, cell] = 1
+        out += stripe @ stripe.T
     return out[np.ix_(left, right)]
 
 
@@ -247,10 +255,18 @@ def _join_units(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -
     key, held = None, []
 
     def work() -> pa.RecordBatch:
-        first, label = (np.array([r[k] for r in held]) for k in (0, 1))
-        rows, h = distinct(*shingles(*as_bytes(pa.array([opener.decompress(r[2]) for r in held], pa.large_binary()))))
+        first, label = np.array([r[0] for r in held]), np.array([r[1] for r in held], dtype=object)
+        sets, texts, size = [], [], 0
+        for i, r in enumerate(held, 1):  # a bounded stretch of text at a time
+            texts.append(opener.decompress(r[2]))
+            size += len(texts[-1])
+            if size >= SLICE_BYTES or i == len(held):
+                row, h = distinct(*shingles(*as_bytes(pa.array(texts, pa.large_binary()))))
+                sets.append((row + i - len(texts), h))
+                texts, size = [], 0
+        rows, h = (np.concatenate(x) for x in zip(*sets))
         a, b = _join_unit(first, label, rows, h, key[1] == key[2], threshold)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.tolist(), pa.binary()), pa.array(b.tolist(), pa.binary())], ["a", "b"])
 
     for batch in batches:
         for *unit, first, label, body in zip(*(column(batch, c).to_pylist() for c in ("band", "one", "two", "first", "label", "body"))):
@@ -264,25 +280,25 @@ def _join_units(batches: Iterator[pa.RecordBatch], threshold: int = THRESHOLD) -
 
 
 def joined_labels(rows: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (a, b) between the labels of crowded buckets ``rows`` (band, class, label, member, n), compared in pairs of blocks."""
-    blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+    """Links (a, b) between the labels of crowded buckets ``rows`` (band, class, label, member, n, mass), compared in pairs of blocks."""
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(float(BLOCK)), F.col("mass") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
     mine = F.pmod(F.xxhash64("class", F.lit(5)), blocks).cast("int")
     units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("one"), F.greatest(mine, o).alias("two")))
     dealt = rows.join(bodies(rows.select(F.col("member").alias("doc_key")).distinct(), docs).withColumnRenamed("doc_key", "member"), "member")
     dealt = dealt.withColumn("mine", mine).withColumn("unit", F.explode(units))
     dealt = dealt.select("band", F.col("unit.one").alias("one"), F.col("unit.two").alias("two"), (F.col("mine") == F.col("unit.one")).alias("first"), "label", "body")
-    return dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_at(_join_units, threshold), "a bigint, b bigint")
+    return dealt.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInArrow(_at(_join_units, threshold), "a binary, b binary")
 
 
 def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """doc_key (a hash of id and text), key, n_shingles, component_id, kept and group (null for an empty set) of every row; ``threshold`` in hundredths."""
     bound_batches(documents.sparkSession)
-    docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    sketches = checkpoint(docs.mapInArrow(_at(_sketch, threshold), SKETCH).withColumn("class", F.when(F.col("n_shingles") > 0, F.xxhash64("h1", "h2", "n_shingles"))))
+    docs = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("doc_key", row_key(F.col("doc_id"), F.col("text")))
+    sketches = checkpoint(docs.mapInArrow(_at(_sketch, threshold), SKETCH).withColumn("class", F.when(F.col("n_shingles") > 0, row_key(F.col("h1"), F.col("h2"), F.col("n_shingles")))))
     classes = checkpoint(
-        sketches.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"), F.first("doc_key").alias("member"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+        sketches.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"), F.first("doc_key").alias("member"), F.first("n_shingles").alias("mass"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     )
-    entries = classes.select("class", F.explode("bands").alias("band"))
+    entries = classes.select("class", "mass", F.explode("bands").alias("band"))
     crowded = entries.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     met = checkpoint(entries.join(crowded, "band"))
     degree = met.groupBy("class").agg(F.sum("size").alias("degree"))
@@ -301,9 +317,9 @@ def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text", thres
     links = checkpoint(confirmed(tried, texts, threshold))
     labels = checkpoint(connected_components(links, "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
 
-    placed = met.join(labels, "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
-    mixed = placed.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1")
-    rest = checkpoint(placed.join(mixed.select("band", "n"), "band").join(classes.select("class", "member", "signature"), "class"))
+    placed = met.join(labels, "class", "left").select("band", "class", "mass", F.coalesce("label", "class").alias("label"))
+    mixed = placed.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("mass").alias("mass")).groupBy("band").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("mass").alias("mass")).where("labels > 1")
+    rest = checkpoint(placed.drop("mass").join(mixed.select("band", "n", "mass"), "band").join(classes.select("class", "member", "signature"), "class"))
     few = rest.where(F.col("n") <= SMALL)
     one, two = (few.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "label", "signature", "member")]) for s in ("a", "b"))
     apart = (F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (estimate(F.col("signature_a"), F.col("signature_b"), threshold) >= floor)
@@ -314,7 +330,7 @@ def grouped(documents: DataFrame, key: str = "doc_id", text: str = "text", thres
         more.append(confirmed(crossed, texts, threshold))
     many = rest.where(F.col("n") > SMALL)
     if not many.isEmpty():
-        more.append(joined_labels(many.select("band", "class", "label", "member", "n"), texts, threshold))
+        more.append(joined_labels(many.select("band", "class", "label", "member", "n", "mass"), texts, threshold))
     if len(more) > 1:
         edges = checkpoint(reduce(DataFrame.unionByName, more))
         labels = checkpoint(connected_components(edges, "a", "b").withColumnsRenamed({"id": "class", "component": "label"}))
@@ -333,7 +349,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: shingle counts and components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=THRESHOLD).drop("doc_key")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=CONTRACT).drop("doc_key")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -341,5 +357,5 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rows = grouped(docs, threshold=threshold)
     first = F.min_by("doc_key", F.struct(F.col("doc_id").isNull(), "doc_id", "doc_key")).alias("__key")
     kept = rows.groupBy(F.col("group").isNull(), F.coalesce("group", "doc_key")).agg(first).select("__key")
-    once = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).join(kept, "__key", "left_semi")
+    once = docs.withColumn("__key", row_key(F.col("doc_id").cast("bigint"), F.col("text"))).join(kept, "__key", "left_semi")
     return once.dropDuplicates(["__key"]).select(*docs.columns)

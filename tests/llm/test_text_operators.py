@@ -217,10 +217,10 @@ def test_minhash_dedup(spark):
             low[find(i)] = min(low.get(find(i), d), d)
     want = [(d, len(s), low.get(find(i), d)) for i, (d, s) in enumerate(sets)]
     docs = table(spark, rows)
-    got = minhash_dedup.near_duplicates(docs)
+    got = minhash_dedup.near_duplicates(docs, threshold=85)
     check(got.select("doc_id", "n_shingles", "component_id"), want)
-    one = minhash_dedup.keep_one(docs)
-    assert one.columns == docs.columns and one.count() == len({find(i) for i in range(len(sets))} )
+    one = minhash_dedup.keep_one(docs, 85)
+    assert one.columns == docs.columns and one.count() == len({find(i) for i in range(len(sets))})
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -232,7 +232,8 @@ def test_pipeline_drops_near_copies_from_0_80(spark):
     a, b, c = (set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows)
     assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) and 100 * len(a & c) < 80 * len(a | c)
     docs = table(spark, rows)
-    assert sorted(r.doc_id for r in minhash_dedup.keep_one(docs).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one(docs, 85).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one(docs).collect()) == [0, 2]
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2]
     assert minhash_dedup.hashes_for(85) == 80 and (1 - 0.8**4) ** (minhash_dedup.hashes_for(80) // 4) < 1e-6
 
@@ -246,10 +247,10 @@ def test_one_row_of_a_group_with_null_and_repeated_ids(spark):
     assert [(d, t) for d, t in got if t not in (text, near)] == sorted([(None, other), (7, ""), (8, None), (None, " "), (5, "apart from the others")], key=repr)
 
 
-@pytest.mark.parametrize("small,block,dense", [(16, 1024, 20_000), (1, 3, 20_000), (1, 4, 0)])
-def test_links_missed_by_the_hub_are_found(spark, monkeypatch, small, block, dense):
+@pytest.mark.parametrize("small,block,mass,few", [(16, 1024, 500_000, 24), (1, 3, 500_000, 24), (1, 1024, 300, 2), (1, 4, 500_000, 1)])
+def test_links_missed_by_the_hub_are_found(spark, monkeypatch, small, block, mass, few):
     """A chain in one bucket: neighbours are near, the ends are not."""
-    for name, value in (("SMALL", small), ("BLOCK", block), ("DENSE_COLUMNS", dense)):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("BLOCK_SHINGLES", mass), ("FEW_ROWS", few)):
         monkeypatch.setattr(minhash_dedup, name, value)
     words = [f"w{i}" for i in range(140)]
     rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(10)]
@@ -257,13 +258,23 @@ def test_links_missed_by_the_hub_are_found(spark, monkeypatch, small, block, den
     assert set(got.values()) == {0}
 
 
+@pytest.mark.parametrize("few", [1, 3, 99])
+def test_shared_counts(monkeypatch, few):
+    monkeypatch.setattr(minhash_dedup, "FEW_ROWS", few)
+    rng = random.Random(few)
+    sets = [{rng.randrange(40) for _ in range(rng.randint(1, 25))} for _ in range(12)]
+    rows, h = (np.array(x) for x in zip(*((i, v) for i, s in enumerate(sets) for v in sorted(s))))
+    got = minhash_dedup._shared(rows, h.astype(np.uint64), len(sets), np.arange(5), np.arange(5, 12))
+    assert got.tolist() == [[len(a & b) for b in sets[5:]] for a in sets[:5]]
+
+
 def test_b_bit_estimate(spark):
     rng = random.Random(2)
     base = [f"t{rng.random()}" for _ in range(400)]
     rows = [(0, " ".join(base)), (1, " ".join(base[40:])), (2, " ".join(f"u{rng.random()}" for _ in range(400)))]
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "doc_key": [0, 1, 2], "text": [t for _, t in rows]})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1, 2], "doc_key": [b"0", b"1", b"2"], "text": [t for _, t in rows]})
     sig = next(iter(minhash_dedup._sketch(iter([batch])))).to_pydict()["signature"]
     df = spark.createDataFrame([(sig[0], sig[1]), (sig[0], sig[2])], "a array<bigint>, b array<bigint>")
     near, far = (r.e for r in df.select(minhash_dedup.estimate(F.col("a"), F.col("b")).alias("e")).collect())
