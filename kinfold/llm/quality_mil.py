@@ -10,7 +10,8 @@ labels, language, source and id are never inputs.
 
 A text without words (null or empty too) is one passage of zeros; without
 labelled rows every score is 0.5; repeated rows score alike; other columns are
-carried through; an empty table gives an empty result.
+carried through, one named as the new column gives way to it; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -180,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Attention
 
 
 def score(docs: DataFrame, model: Attention, out: str = "score") -> DataFrame:
-    """``docs`` with the model's score of every whole text."""
+    """``docs`` with the model's score of every whole text, in place of a column of that name."""
+    docs = docs.drop(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

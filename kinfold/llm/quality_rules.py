@@ -239,8 +239,9 @@ VERDICT = (*[(b, T.LongType(), pa.int64()) for b in BASE], ("base_failed", T.Boo
 
 
 def judge(docs: DataFrame, trees: Trees, prefix: str = "", keep_at: float = KEEP_AT) -> DataFrame:
-    """``docs`` with the base counts and the verdict; the new columns' names begin with ``prefix``."""
+    """``docs`` with the base counts and the verdict, in place of columns of those names; the names begin with ``prefix``."""
     bound_batches(docs.sparkSession)
+    docs = docs.drop(*[prefix + v for v, _, _ in VERDICT])
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
