@@ -2,18 +2,22 @@
 
 Every version of a path is addressed by the SHA-256 of its content. Only the
 (blob, rule version) pairs that the ledger has not seen are scanned; findings
-are kept per blob and joined back to every path that holds it. A regular
+are kept per blob and joined back to every path that holds it. A rule version
+is a digest of the rules, so changed rules never meet older findings. A regular
 expression's matches are placed by splitting the text at them: the lengths of
 the pieces between and of the matches add up to code-point offsets, so no
 Python is needed on the way.
 
 Null texts count as empty, rows with equal content share one scan, a null or
 repeated id keeps its row, an empty table gives an empty result, and columns
-beside the named ones are carried through.
+beside the named ones are carried through; one named as the new column gives
+way to it. A blob that was recorded twice (a retried or concurrent append)
+counts once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +49,7 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
 )
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "2"
+STRIDE = 256  # matches that are placed together
 LEDGER = "spark.kinfold.secretLedger"  # names the ledger that registered runs go on with
 SPAN = "array<struct<s:bigint,k:int,e:bigint>>"
 
@@ -56,7 +60,7 @@ def _spans(text: Column, rule: Rule, k: int) -> Column:
     gaps = F.split(text, rule.pattern, -1)
     cells = F.arrays_zip(found.alias("m"), gaps.alias("g"), *([F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("v")] if rule.group else []))
     keep = (lambda c: F.length(c["v"]) >= rule.least) if rule.group else (lambda c: F.lit(True))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, c: Column) -> Column:
         s = acc["at"] + F.length(c["g"])
@@ -65,9 +69,15 @@ def _spans(text: Column, rule: Rule, k: int) -> Column:
         ok = c["m"].isNotNull() & keep(c)
         return F.struct(e.cast("bigint").alias("at"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast(SPAN)
+    def stride(acc: Column, part: Column) -> Column:
+        now = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(now["at"].alias("at"), F.concat(acc["out"], F.array(now["out"])).alias("out"))
+
+    # strides keep the copying of growing arrays short
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / STRIDE).cast("int")), lambda i: F.slice(cells, i * STRIDE + 1, STRIDE))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
     test = F.contains(text, F.lit(rule.hint)) if rule.hint else F.lit(True)
-    return F.when(test & text.rlike(rule.pattern), F.aggregate(cells, zero, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(test & text.rlike(rule.pattern), F.aggregate(parts, start, stride, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
 def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -75,6 +85,10 @@ def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*[_spans(text, r, k) for k, r in enumerate(rules)]))
 
 
+def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
+    return hashlib.sha256(repr(rules).encode()).hexdigest()
+
+
 def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
@@ -92,20 +106,19 @@ class BlobLedger:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return self.spark.read.parquet(self.path) if fs.exists(p) else None
 
-    def scan(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
-        """(blob, spans) of every blob of ``versions`` that has a finding; unseen blobs are scanned and recorded."""
+    def scan(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(blob, spans) of every blob of ``versions`` that has a finding; blobs unseen under these rules are scanned and recorded."""
+        version = rule_version(rules)
         blobs = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
         seen = self.read()
-        known = None
         if seen is not None:
-            known = seen.where(F.col("rules") == version)
-            blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+            blobs = blobs.join(seen.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
         once = blobs.groupBy("blob").agg(F.first("body").alias("body"))
         fresh = once.select("blob", find_spans(F.col("body"), rules).alias("spans"))
         if self.path is None:
             return fresh.where(F.size("spans") > 0)
         fresh.select("blob", F.lit(version).alias("rules"), "spans").write.mode("append").parquet(self.path)
-        done = self.spark.read.parquet(self.path).where((F.col("rules") == version) & (F.size("spans") > 0))
+        done = self.spark.read.parquet(self.path).where((F.col("rules") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
         here = versions.select(address(F.col(text)).alias("blob")).distinct()
         return done.select("blob", "spans").join(here, "blob", "left_semi")
 
@@ -115,11 +128,11 @@ def run_ledger(spark: SparkSession) -> BlobLedger:
     return BlobLedger(spark, spark.conf.get(LEDGER, None) or scratch_table(spark, "ledger"))
 
 
-def scan_secrets(versions: DataFrame, text: str = "text", ledger: BlobLedger | None = None, spans: str = "spans") -> DataFrame:
-    """``versions`` with a column ``spans`` of array<struct<s, k, e>> (k indexes ``RULES``)."""
+def scan_secrets(versions: DataFrame, text: str = "text", ledger: BlobLedger | None = None, spans: str = "spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``versions`` with a column ``spans`` of array<struct<s, k, e>> (k indexes ``rules``), in place of one of that name."""
     ledger = ledger or run_ledger(versions.sparkSession)
-    found = ledger.scan(versions, text).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    marked = versions.withColumn("__blob", address(F.col(text)))
+    found = ledger.scan(versions, text, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    marked = versions.withColumn("__blob", address(F.col(text))).drop(*{spans} - {text})
     return marked.join(found, "__blob", "left").withColumn(spans, F.coalesce("__spans", F.array().cast(SPAN))).drop("__blob", "__spans")
 
 
