@@ -4,13 +4,15 @@ A vector is rotated by random signs and fast Hadamard transforms; its hash is
 the signed axis it lies nearest to. A table joins ``k`` such hashes; a vector
 enters the bucket of its own axes and, by multiprobe, those where the least
 certain hash takes the runner-up axis. ``k`` follows the number of vectors, the
-number of tables follows ``k`` so that fewer than one pair in 10,000 at the
-threshold meets in no bucket (``TABLES``, measured).
+number of tables follows ``k`` so that few pairs at the threshold meet in no
+bucket (``TABLES``; tests measure the recall of every ``k``).
 
-Identical vectors are one class. Buckets give verified links between classes; a
-bucket hands on a spanning forest, never its pairs. Links are then counted
-exactly within each component. A group of more than ``BLOCK`` rows is split into
-blocks, and each pair of blocks is a unit of work of bounded size.
+Identical vectors are one class. A bucket's pairs are verified; it hands on a
+spanning forest of its links, never the pairs, and how many links each class
+has there whose ends share no bucket of a smaller key. So each link is counted
+in one bucket, and no pair that shares no bucket is looked at. A bucket of more
+than ``BLOCK`` rows is split into blocks, and each pair of blocks is a unit of
+work of bounded size.
 
 Null, zero and empty vectors and those with null or non-finite components link
 with nothing; vectors of different lengths don't link; a repeated vec_id is
@@ -22,20 +24,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.kernels import U64, column, mix
+from kinfold.llm.kernels import U64, column, mix, shared_counts
 from kinfold.operators.components import connected_components
 from kinfold.runtime import checkpoint
 
 THRESHOLD = 0.95
-BLOCK = 2048
+BLOCK = 1024
 ROUNDS = 3
 PROBES = 6
+LEAST_DIMS = 64  # shorter vectors are padded: signs and Hadamard transforms rotate few dimensions in few ways
 TABLES = {1: 6, 2: 8, 3: 10, 4: 14, 5: 22, 6: 34}
 
 
@@ -53,7 +57,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def codes(x: np.ndarray, k: int, tables: int, probes: int = PROBES) -> np.ndarray:
     """(n, tables * probes) bucket keys of the rows of ``x``."""
     n, dim = x.shape
-    d = 1 << max(1, (dim - 1).bit_length())
+    d = max(LEAST_DIMS, 1 << (dim - 1).bit_length())
     padded = np.zeros((n, d))
     padded[:, :dim] = x
     probes = min(probes, 1 << k)
@@ -105,84 +109,82 @@ def in_blocks(rows: DataFrame, size: Column) -> DataFrame:
     mine = F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int")
     units = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(mine, o).alias("one"), F.greatest(mine, o).alias("two")))
     dealt = rows.withColumn("__mine", mine).withColumn("__unit", F.explode(units))
-    return dealt.select("group", F.col("__unit.one").alias("one"), F.col("__unit.two").alias("two"), (F.col("__mine") == F.col("__unit.one")).alias("first"), "rep", "n", "vector")
+    return dealt.select("group", F.col("__unit.one").alias("one"), F.col("__unit.two").alias("two"), (F.col("__mine") == F.col("__unit.one")).alias("first"), "rep", "n", "vector", "keys")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(first, rep, n, unit vectors, same block) of each unit; rows come sorted by unit."""
+@dataclass
+class _Unit:
+    """Rows of a unit of work: whether in the first block, class, size, unit vectors and bucket keys (two dimensions)."""
+
+    bucket: int
+    same: bool
+    first: np.ndarray
+    rep: np.ndarray
+    n: np.ndarray
+    x: np.ndarray
+    keys: np.ndarray
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[_Unit]:
+    """The units of a task; rows come sorted by unit."""
+    unit: tuple | None = None
     held: list[tuple] = []
 
-    def cut(rows: tuple, last: bool) -> Iterator[tuple]:
-        key, first, rep, n, vec = rows
-        edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        bounds = np.concatenate([[0], edge, [len(key)]])
-        for a, b in zip(bounds[:-2], bounds[1:-1]):
-            yield unit(a, b, rows)
-        a, b = bounds[-2:]
-        if last and b > a:
-            yield unit(a, b, rows)
-        elif not last:
-            held[:] = [tuple(x[a:] for x in rows)]
-
-    def unit(a: int, b: int, rows: tuple) -> tuple:
-        key, first, rep, n, vec = rows
-        x = np.array(vec[a:b].tolist(), dtype=float)
+    def made() -> _Unit:
+        first, rep, n, vec, keys = zip(*held)
+        x = np.array([np.asarray(v) for v in vec], dtype=float)
         x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
-        return first[a:b], rep[a:b], n[a:b], x / np.linalg.norm(x, axis=1, keepdims=True), key[a, 1] == key[a, 2]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return _Unit(unit[0], unit[1] == unit[2], np.array(first), np.array(rep), np.array(n), x, np.array([np.asarray(k) for k in keys]))
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
         get = lambda c: column(batch, c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-        now = (np.stack([get("group"), get("one").astype(np.int64), get("two").astype(np.int64)], axis=1), get("first"), get("rep"), get("n"), get("vector"))
-        if held:
-            now = tuple(np.concatenate([a, b]) for a, b in zip(held[0], now))
-        held.clear()
-        yield from cut(now, False)
-    if held:
-        yield from cut(held[0], True)
-
-
-STRIPE = 512
-
-
-def _links(first: np.ndarray, x: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of linked rows of a unit, a stripe at a time, each pair once."""
-    left = np.arange(len(x)) if same else np.flatnonzero(first)
-    right = left if same else np.flatnonzero(~first)
-    for at in range(0, len(left), STRIPE):
-        rows = left[at : at + STRIPE]
-        i, j = np.nonzero(x[rows] @ x[right].T >= THRESHOLD)
-        i, j = rows[i], right[j]
-        keep = i < j if same else slice(None)
-        yield i[keep], j[keep]
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each unit's links."""
-    for first, rep, _, x, same in _groups(batches):
-        root = np.arange(len(x))
-        for i, j in _links(first, x, same):
-            while True:  # hang the larger root below the smaller until all ends agree
-                a, b = root[i], root[j]
-                if (a == b).all():
-                    break
-                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-                while (root != root[root]).any():
-                    root = root[root]
-        moved = np.flatnonzero(root != np.arange(len(x)))
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[moved], pa.int64()), pa.array(rep[root[moved]], pa.int64())], ["r1", "r2"])
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many vectors of other classes each class links to, within each unit."""
-    for first, rep, n, x, same in _groups(batches):
-        total = np.zeros(len(x), dtype=np.int64)
-        for i, j in _links(first, x, same):
-            np.add.at(total, i, n[j])
-            np.add.at(total, j, n[i])
-        yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(total, pa.int64())], ["rep", "links"])
+        for *now, first, rep, n, vec, keys in zip(*(get(c) for c in ("group", "one", "two", "first", "rep", "n", "vector", "keys"))):
+            if tuple(now) != unit:
+                if len(held) > 1:
+                    yield made()
+                unit, held = tuple(now), []
+            held.append((first, rep, n, vec, keys))
+    if len(held) > 1:
+        yield made()
+
+
+def _links(u: _Unit) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of linked rows of a unit, each pair once."""
+    left = np.arange(len(u.x)) if u.same else np.flatnonzero(u.first)
+    right = left if u.same else np.flatnonzero(~u.first)
+    i, j = np.nonzero(u.x[left] @ u.x[right].T >= THRESHOLD)
+    i, j = left[i], right[j]
+    keep = (u.rep[i] != u.rep[j]) & ((i < j) | (not u.same))
+    return i[keep], j[keep]
+
+
+def _met_before(u: _Unit, rows: np.ndarray) -> np.ndarray:
+    """Which two of ``rows`` share a bucket of a smaller key than this unit's."""
+    keys = u.keys[rows]
+    at, _ = earlier = np.nonzero(keys < u.bucket)
+    return shared_counts(at, keys[earlier], len(rows)) > 0
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each unit (rep, low, links): rep hangs below low in a spanning forest of its links, links are those first met here."""
+    for u in _units(batches):
+        i, j = _links(u)
+        if not len(i):
+            continue
+        root = np.arange(len(u.x))
+        while True:  # hang the larger root below the smaller until all ends agree
+            a, b = root[i], root[j]
+            if (a == b).all():
+                break
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root != root[root]).any():
+                root = root[root]
+        rows = np.unique(np.concatenate([i, j]))
+        seen = _met_before(u, rows)
+        fresh = ~seen[np.searchsorted(rows, i), np.searchsorted(rows, j)]
+        total = np.bincount(i[fresh], u.n[j[fresh]], len(u.x)) + np.bincount(j[fresh], u.n[i[fresh]], len(u.x))
+        yield pa.RecordBatch.from_arrays([pa.array(u.rep[rows], pa.int64()), pa.array(u.rep[root[rows]], pa.int64()), pa.array(total[rows].astype(np.int64))], ["rep", "low", "links"])
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -203,20 +205,17 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 at = np.flatnonzero(size == dim)
                 x = np.array(vec[at].tolist(), dtype=float)
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), k, tables)
-                yield pa.RecordBatch.from_arrays([pa.array(c.ravel().view(np.int64)), pa.array(np.repeat(rep[at], c.shape[1]))], ["group", "rep"])
+                c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), k, tables).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(list(c), pa.list_(pa.int64()))], ["rep", "keys"])
 
-    entries = classes.select("rep", "vector").mapInArrow(hashed, "group bigint, rep bigint")
+    keyed = checkpoint(classes.select("rep", "vector").mapInArrow(hashed, "rep bigint, keys array<bigint>"))
+    entries = keyed.select("rep", F.explode(F.array_distinct("keys")).alias("group"))
     crowded = entries.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
-    work = entries.join(crowded, "group").join(classes.select("rep", "n", "vector"), "rep")
+    work = entries.join(crowded, "group").join(classes.select("rep", "n", "vector").join(keyed, "rep"), "rep")
     unit = ["group", "one", "two"]
-    edges = in_blocks(work, F.col("size")).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_forest, "r1 bigint, r2 bigint")
-    labels = checkpoint(connected_components(edges).withColumnsRenamed({"id": "rep", "component": "group"}))
-
-    sizes = labels.groupBy("group").agg(F.count("*").alias("size"))
-    inner = labels.join(sizes, "group").join(classes.select("rep", "n", "vector"), "rep")
-    counts = in_blocks(inner, F.col("size")).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_counts, "rep bigint, links bigint")
-    counts = counts.groupBy("rep").agg(F.sum("links").alias("links"))
+    met = checkpoint(in_blocks(work, F.col("size")).repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_verify, "rep bigint, low bigint, links bigint"))
+    labels = checkpoint(connected_components(met, "rep", "low").withColumnsRenamed({"id": "rep", "component": "group"}))
+    counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     lows = classes.select("rep", "low").join(labels, "rep").groupBy("group").agg(F.min("low").alias("component"))
     found = classes.select("h1", "h2", "rep", "low", "n").join(labels, "rep", "left").join(lows, "group", "left").join(counts, "rep", "left")
     found = found.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "low").alias("component"))

@@ -123,3 +123,33 @@ def compressed(batch: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatc
         raw = memoryview(buf)
         at = offs.tolist()
         yield part, pa.array([press.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
+
+
+FEW_ROWS = 24  # a member of so many sets adds its pairs one by one
+
+
+def shared_counts(rows: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """(n, n): how many members each two of n sets share; (rows, h) lists the sets' members."""
+    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+    often = times[col] > 1
+    _, col = np.unique(col[often], return_inverse=True)
+    rows = rows[often]
+    out = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(col, kind="stable")
+    rows = rows[order]
+    size = np.bincount(col)
+    begin = np.cumsum(size) - size
+    for k in range(2, FEW_ROWS + 1):  # members of k sets: their pairs
+        at = begin[size == k]
+        for part in np.array_split(at, max(1, len(at) * k * k >> 21)):
+            held = rows[part[:, None] + np.arange(k)]
+            np.add.at(out, (held[:, :, None], held[:, None, :]), np.float32(1))
+    wide = np.flatnonzero(size > FEW_ROWS)
+    for at in range(0, len(wide), 2048):  # the others: products of stripes of the incidence matrix
+        part = wide[at : at + 2048]
+        cell = np.repeat(np.arange(len(part)), size[part])
+        held = rows[np.arange(len(cell)) + np.repeat(begin[part] - (np.cumsum(size[part]) - size[part]), size[part])]
+        stripe = np.zeros((n, len(part)), dtype=np.float32)
+        stripe[held, cell] = 1
+        out += stripe @ stripe.T
+    return out

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm.kernels import SLICE_BYTES, U64, SpanHash, as_bytes, column, compressed, mix, row_key, slices, words
+from kinfold.llm.kernels import SLICE_BYTES, U64, SpanHash, as_bytes, column, compressed, mix, row_key, shared_counts, slices, words
 from kinfold.operators.components import connected_components
 from kinfold.runtime import bound_batches, checkpoint, scratch_table
 
@@ -45,7 +45,6 @@ MARGIN = 0.25
 SMALL = 16  # classes of a bucket whose pairs are listed
 BLOCK = 1024  # classes of a larger bucket that are compared at once
 BLOCK_SHINGLES = 500_000  # and their shingles, but for a class that has more alone
-FEW_ROWS = 24  # a shingle of so many sets adds its pairs one by one
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -201,40 +200,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
 # --- crowded buckets -----------------------------------------------------
 
 
-def _shared(rows: np.ndarray, h: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many shingles each of the ``left`` sets shares with each of the ``right`` sets; (rows, h) lists the n sets."""
-    _, col, times = np.unique(h, return_inverse=True, return_counts=True)
-    often = times[col] > 1
-    _, col = np.unique(col[often], return_inverse=True)
-    rows = rows[often]
-    out = np.zeros((n, n), dtype=np.float32)
-    order = np.argsort(col, kind="stable")
-    rows = rows[order]
-    size = np.bincount(col)
-    begin = np.cumsum(size) - size
-    for k in range(2, FEW_ROWS + 1):  # shingles of k sets: their pairs
-        at = begin[size == k]
-        for part in np.array_split(at, max(1, len(at) * k * k >> 21)):
-            held = rows[part[:, None] + np.arange(k)]
-            np.add.at(out, (held[:, :, None], held[:, None, :]), np.float32(1))
-    wide = np.flatnonzero(size > FEW_ROWS)
-    for at in range(0, len(wide), 2048):  # the others: products of stripes of the incidence matrix
-        part = wide[at : at + 2048]
-        cell = np.repeat(np.arange(len(part)), size[part])
-        held = rows[np.arange(len(cell)) + np.repeat(begin[part] - (np.cumsum(size[part]) - size[part]), size[part])]
-        stripe = np.zeros((n, len(part)), dtype=np.float32)
-        stripe[held, cell] = 1
-        out += stripe @ stripe.T
-    return out[np.ix_(left, right)]
-
-
 def _join_unit(first: np.ndarray, label: np.ndarray, rows: np.ndarray, h: np.ndarray, same: bool, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, between labels, of the links of one unit."""
     n = len(label)
     left = np.arange(n) if same else np.flatnonzero(first)
     right = left if same else np.flatnonzero(~first)
     size = np.bincount(rows, minlength=n)
-    both = _shared(rows, h, n, left, right)
+    both = shared_counts(rows, h, n)[np.ix_(left, right)]
     links = 100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both)
     names, which = np.unique(label, return_inverse=True)
     i, j = np.nonzero(links & (which[left][:, None] != which[right][None, :]))

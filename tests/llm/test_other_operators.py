@@ -75,16 +75,31 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_hashes_recall_pairs_at_the_threshold():
+@pytest.mark.parametrize("k", sorted(embedding_dedup.TABLES))
+@pytest.mark.parametrize("cosine", [0.95, 0.97])
+def test_hashes_recall_pairs_at_the_threshold(k, cosine):
+    """No pair is missed, and by the share that meets in one table fewer than one in 10,000 would be."""
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(400, 64))
+    x = rng.normal(size=(1200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.normal(size=x.shape)
     z -= (z * x).sum(1, keepdims=True) * x
-    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    for k in (1, 2, 3):
-        a, b = (embedding_dedup.codes(v, k, embedding_dedup.TABLES[k]) for v in (x, y))
-        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) > 0.99
+    y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    tables = embedding_dedup.TABLES[k]
+    a, b = (embedding_dedup.codes(v, k, tables).reshape(len(x), tables, -1) for v in (x, y))
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3))
+    print(f"k {k}, cosine {cosine}: {1 - met.any(axis=1).mean():.6f} missed, {met.mean():.4f} meet in one table, {(1 - met.mean()) ** tables:.1e} missed by that")
+    assert met.any(axis=1).all() and (1 - met.mean()) ** tables < 1e-4
+
+
+def test_links_are_counted_along_a_chain(spark, monkeypatch):
+    """Neighbours on a circle: one component, whose far pairs are never links, in buckets of many blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    angle = np.arange(150) * (2 * np.pi / 150)
+    rows = [(i, [np.cos(a), np.sin(a), 0.0, 0.0]) for i, a in enumerate(angle)]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in rows], "vec_id bigint, embedding array<double>")
+    near = sum(np.cos(2 * np.pi * d / 150) >= 0.95 for d in range(1, 150))
+    assert {(r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {(near, 0)}
 
 
 def test_pipeline(spark, tmp_path):

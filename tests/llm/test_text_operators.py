@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import encoding, minhash_dedup, mixing, packing, quality_mil, quality_rules, secret_scan, suffix_dedup, token_files
+from kinfold.llm import encoding, kernels, minhash_dedup, mixing, packing, quality_mil, quality_rules, secret_scan, suffix_dedup, token_files
 from kinfold.llm.kernels import as_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -282,8 +282,9 @@ def test_one_row_of_a_group_with_null_and_repeated_ids(spark):
 @pytest.mark.parametrize("small,block,mass,few", [(16, 1024, 500_000, 24), (1, 3, 500_000, 24), (1, 1024, 300, 2), (1, 4, 500_000, 1)])
 def test_links_missed_by_the_hub_are_found(spark, monkeypatch, small, block, mass, few):
     """A chain in one bucket: neighbours are near, the ends are not."""
-    for name, value in (("SMALL", small), ("BLOCK", block), ("BLOCK_SHINGLES", mass), ("FEW_ROWS", few)):
+    for name, value in (("SMALL", small), ("BLOCK", block), ("BLOCK_SHINGLES", mass)):
         monkeypatch.setattr(minhash_dedup, name, value)
+    monkeypatch.setattr(kernels, "FEW_ROWS", few)
     words = [f"w{i}" for i in range(140)]
     rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(10)]
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table(spark, rows)).collect()}
@@ -292,12 +293,12 @@ def test_links_missed_by_the_hub_are_found(spark, monkeypatch, small, block, mas
 
 @pytest.mark.parametrize("few", [1, 3, 99])
 def test_shared_counts(monkeypatch, few):
-    monkeypatch.setattr(minhash_dedup, "FEW_ROWS", few)
+    monkeypatch.setattr(kernels, "FEW_ROWS", few)
     rng = random.Random(few)
     sets = [{rng.randrange(40) for _ in range(rng.randint(1, 25))} for _ in range(12)]
     rows, h = (np.array(x) for x in zip(*((i, v) for i, s in enumerate(sets) for v in sorted(s))))
-    got = minhash_dedup._shared(rows, h.astype(np.uint64), len(sets), np.arange(5), np.arange(5, 12))
-    assert got.tolist() == [[len(a & b) for b in sets[5:]] for a in sets[:5]]
+    got = kernels.shared_counts(rows, h.astype(np.uint64), len(sets))
+    assert got.tolist() == [[len(a & b) if a is not b else got[i, i] for b in sets] for i, a in enumerate(sets)]
 
 
 def test_b_bit_estimate(spark):
