@@ -9,6 +9,12 @@ fields of records, ``== != + and or not``, and the filters of ``FILTERS``. There
 are no calls, no attributes of Python objects and no loops beside those over
 given lists.
 
+A conversation is formatted turn by turn, by many tasks if it is long. So a
+template has one loop over ``messages`` on its outermost level; what stands
+before and after it comes once a conversation and doesn't see the turns, and
+the loop's body sees its own turn alone. ``split_template`` raises
+``TemplateError`` for any other use of ``messages``.
+
 Turns are ordered by turn (null first), role and text; null texts and roles are
 empty; a null conv_id is a conversation of its own; repeated rows are repeated
 turns; an empty table leaves the added conversation alone.
@@ -410,16 +416,62 @@ def compile_template(source: str) -> Callable[..., tuple[str, list[tuple[int, in
 
 # --- distribution --------------------------------------------------------
 
+TURNS = "messages"
 RUN_CHARS = 1 << 20
 RUNS = "conv_id bigint, part int, run int, formatted string, marks array<bigint>"
+FIRST, LAST = -1, 2**31 - 1  # the parts before and after all turns
 _TURN = re.compile(r"<s>\[ROLE\](.*?)\[/ROLE\](?:\[INST\](.*?)\[/INST\]|(.*?))</s>", re.S)
 
 
+def _names(node) -> set[str]:
+    """All variables that a node or a list of nodes looks at."""
+    if isinstance(node, list):
+        return set().union(*map(_names, node))
+    if isinstance(node, Name):
+        return {node.name}
+    return set().union(*(_names(v) for v in vars(node).values() if isinstance(v, list) or hasattr(v, "__dataclass_fields__"))) if hasattr(node, "__dataclass_fields__") else set()
+
+
+def split_template(source: str) -> tuple[list, For, list]:
+    """The folded template as what stands before its loop over the turns, the loop, and what stands after it."""
+    nodes = fold(parse(source))
+    at = [i for i, n in enumerate(nodes) if isinstance(n, For) and n.of == Name(TURNS)]
+    if len(at) != 1:
+        raise TemplateError(f"a template has one loop over {TURNS} on its outermost level, not {len(at)}")
+    head, loop, tail = nodes[: at[0]], nodes[at[0]], nodes[at[0] + 1 :]
+    if TURNS in _names(head) | _names(loop.body) | _names(tail):
+        raise TemplateError(f"only the loop itself may look at {TURNS}: a conversation is formatted turn by turn")
+    return head, loop, tail
+
+
+class TurnFormat:
+    """A split template: the texts around a conversation's turns, and a function of one turn, each with generation spans."""
+
+    def __init__(self, source: str):
+        head, loop, tail = split_template(source)
+        self.scope: dict = {}
+        self.head = self._run(head)
+        self.name, self.body = loop.name, _steps(loop.body)
+        inner = dict(self.scope)
+        self.tail = self._run(tail)
+        self.scope = inner
+
+    def _run(self, nodes: list) -> tuple[str, list[tuple[int, int]]]:
+        out = _Out()
+        _steps(nodes)(self.scope, out)
+        return "".join(out.parts), out.marks
+
+    def turn(self, role: str, text: str) -> tuple[str, list[tuple[int, int]]]:
+        out = _Out()
+        self.body({**self.scope, self.name: {"role": role, "text": text}}, out)
+        return "".join(out.parts), out.marks
+
+
 def _render_runs(source: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        render, part, run = compile_template(source), TaskContext.get().partitionId(), 0
+        render, part, run = TurnFormat(source).turn, TaskContext.get().partitionId(), 0
         conv: object = work  # no conversation yet
         texts: list[str] = []
         marks: list[int] = []
@@ -448,7 +500,7 @@ def _render_runs(source: str):
                     if size > 8 * RUN_CHARS:
                         yield give()
                         size = 0
-                body, spans = render(messages=[{"role": role or "", "text": text or ""}])
+                body, spans = render(role or "", text or "")
                 marks += [length + x for s in spans for x in s]
                 texts.append(body)
                 length += len(body)
@@ -461,20 +513,23 @@ def _render_runs(source: str):
 
 
 def format_runs(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """Formatted stretches of conversations, in order of part and run, with their generation marks.
-
-    A template renders turn by turn (its loop gets one turn at a time), so a
-    conversation of any length is spread over tasks and formatted in stretches.
-    """
+    """Formatted stretches of conversations, in order of part and run, with their generation marks; a conversation may span tasks."""
+    around = TurnFormat(template)
     rows = conversations.select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
     order = ("conv_id", "turn", "role", "text")
-    return rows.repartitionByRange("conv_id", "turn").sortWithinPartitions(*order).mapInArrow(_render_runs(template), RUNS)
+    runs = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions(*order).mapInArrow(_render_runs(template), RUNS)
+    for part, (text, marks) in ((FIRST, around.head), (LAST, around.tail)):
+        if text:
+            flat = F.array(*[F.lit(x).cast("bigint") for m in marks for x in m]).cast("array<bigint>")
+            each = rows.select("conv_id").distinct()
+            runs = runs.unionByName(each.select("conv_id", F.lit(part).alias("part"), F.lit(0).alias("run"), F.lit(text).alias("formatted"), flat.alias("marks")))
+    return runs
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of each conversation, parsed from its formatted stretches in one pass."""
+    """Digests of each conversation, parsed from its formatted stretches in one pass; ``ValueError`` if a stretch isn't whole turns."""
     state: list | None = None
     done: list[tuple] = []
 
@@ -487,10 +542,16 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if state is None or conv != state[0]:
                 close()
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            at = 0
             for m in _TURN.finditer(text):
+                if m.start() != at:
+                    break
+                at = m.end()
                 said = m[2] if m[2] is not None else m[3]
                 state[1] += 1
                 state[2].update(f"{unescape(m[1])}\n{unescape(said)}\n".encode("utf-8", "surrogatepass"))
+            if at != len(text):
+                raise ValueError(f"text outside of turns at {at} of a stretch of conversation {conv}")
             for a, b in zip(marks[::2], marks[1::2]):
                 loss = unescape(text[a:b])
                 state[3] += len(loss)
@@ -512,7 +573,7 @@ def _digests(done: list[tuple]) -> pa.RecordBatch:
 
 
 def read_back(runs: DataFrame) -> DataFrame:
-    """One row a conversation; a task streams its stretches, holding digests only."""
+    """One row a conversation formatted by ``TEMPLATE``; a task streams its stretches, holding digests only."""
     return runs.repartition("conv_id").sortWithinPartitions("conv_id", "part", "run").select("conv_id", "formatted", "marks").mapInArrow(_read_back, DIGESTS)
 
 

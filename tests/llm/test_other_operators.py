@@ -49,6 +49,31 @@ def test_conversations(spark, monkeypatch):
     assert chat_format.read_back(chat_format.format_runs(df.limit(0))).count() == 0
 
 
+def test_templates_with_texts_around_the_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "RUN_CHARS", 5)
+    source = "{% set who = 'A' %}BOS{{ who }} {% for m in messages %}<{{ m.role }}>{% generation %}{{ m.text | trim }}{% endgeneration %}{% endfor %}{% generation %}EOS{% endgeneration %}"
+    rows = [(1, t, "user", f" t{t} ", "x") for t in range(9)] + [(2, 0, None, None, "x"), (None, 0, "system", "s", "x")]
+    runs = chat_format.format_runs(spark.createDataFrame(rows, CHAT), source).collect()
+    render = compile_template(source)
+    for conv in (1, 2, None):
+        mine = sorted((r for r in runs if r.conv_id == conv), key=lambda r: (r.part, r.run))
+        text, marks = "", []
+        for r in mine:
+            marks += [(a + len(text), b + len(text)) for a, b in zip(r.marks[::2], r.marks[1::2])]
+            text += r.formatted
+        assert (text, marks) == render(messages=[{"role": role or "", "text": t or ""} for c, _, role, t, _ in rows if c == conv])
+    assert chat_format.format_runs(spark.createDataFrame([], CHAT), source).count() == 0
+    with pytest.raises(Exception, match="outside of turns"):
+        chat_format.read_back(chat_format.format_runs(spark.createDataFrame(rows, CHAT), "BOS" + chat_format.TEMPLATE)).collect()
+
+
+@pytest.mark.parametrize("source", ["no loop", "{% if messages %}x{% endif %}{% for m in messages %}{% endfor %}", "{% for m in messages %}{{ messages }}{% endfor %}",
+                                    "{% for m in messages %}{% endfor %}{% for m in messages %}{% endfor %}", "{% if a %}{% for m in messages %}{% endfor %}{% endif %}"])
+def test_templates_that_look_at_other_turns_are_refused(source):
+    with pytest.raises(TemplateError):
+        chat_format.split_template(source)
+
+
 def _brute(rows):
     ok = [x is not None and len(x) > 0 and all(v is not None and np.isfinite(v) for v in x) and any(x) for _, x in rows]
     link = np.zeros((len(rows), len(rows)), dtype=bool)
