@@ -43,13 +43,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
+    """A fresh path for a written table in the shared folder, there until ``release``."""
+    path = f"{shared_dir(spark)}/kinfold-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch table and read from it."""
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through the file system Spark resolves for it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def release(spark: SparkSession, *keep: str) -> None:
+    """Delete this session's scratch tables but those to keep; results not written yet must not need them."""
+    for path in [p for p in _SCRATCH if p not in keep]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _SCRATCH.remove(path)
