@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import minhash_dedup, mixing, packing, quality_rules, secret_scan
-from kinfold.runtime import scratch_table
+from kinfold.runtime import release, scratch_table
 
 NEAR = 80  # hundredths of shared shingles from which documents are near duplicates
 
@@ -58,10 +58,11 @@ ORACLE_SQL = None  # trees, signatures, tokenizer and rounding are beyond SQL; t
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
+    """All stages in turn over ``documents``; scratch tables of a stage go once the next one's documents are written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_table(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, path)
         docs = spark.read.parquet(path)
     return docs
