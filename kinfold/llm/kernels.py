@@ -81,7 +81,7 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class SpanHash:
-    """Polynomial hashes of any byte span of a buffer from one prefix sum.
+    """Polynomial hashes of any span of bytes, or of 64-bit symbols, from one prefix sum.
 
     Arithmetic is modulo 2**64 with an odd base, so dividing by a power of the
     base is a multiplication; equal spans give equal hashes wherever they lie.
@@ -91,11 +91,13 @@ class SpanHash:
 
     def __init__(self, buf: np.ndarray, lane: int = 0):
         self.lane = lane
-        rng = np.random.default_rng(90210 + lane)
-        table = rng.integers(0, 2**64, 256, dtype=np.uint64)
+        if buf.dtype == np.uint8:
+            values = np.random.default_rng(90210 + lane).integers(0, 2**64, 256, dtype=np.uint64)[buf]
+        else:
+            values = mix(buf + U64(90210 + lane))
         up, self.down = self._power(lane, len(buf) + 1)
         self.sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(table[buf] * up[: len(buf)], out=self.sums[1:])
+        np.cumsum(values * up[: len(buf)], out=self.sums[1:])
 
     @classmethod
     def _power(cls, lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:

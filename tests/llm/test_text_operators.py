@@ -43,34 +43,82 @@ def check(got, want):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_suffix_dedup(spark, monkeypatch):
-    rows = texts()
+def _repeated(rows):
+    """What op1 returns, by counting every string of 400 bytes and of 51 words."""
     raw = [(d, (t or "").encode()) for d, t in rows]
     times = collections.Counter(t[i : i + 400] for _, t in raw for i in range(len(t) - 399))
-    want = []
-    for d, t in raw:
-        cover = np.zeros(len(t), dtype=bool)
-        for i in range(len(t) - 399):
-            if times[t[i : i + 400]] > 1:
-                cover[i : i + 400] = True
-        kept = np.frombuffer(t, np.uint8)[~cover].tobytes()
-        runs = int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
-        want.append((d, len(t), int(cover.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    docs = table(spark, rows)
-    check(suffix_dedup.remove_repeats(docs).drop("kept_text"), want)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 3)  # anchors with more contents go the other way
-    check(suffix_dedup.remove_repeats(docs).drop("kept_text"), want)
-    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+    said = [WORD.findall(t or "") for _, t in rows]
+    holders = collections.defaultdict(set)
+    for k, w in enumerate(said):
+        for i in range(len(w) - 50):
+            holders[tuple(w[i : i + 51])].add(k)
+
+    def covered(n, length, again):
+        cover = np.zeros(n, dtype=bool)
+        for i in range(n - length + 1):
+            if again(i):
+                cover[i : i + length] = True
+        return cover, int((np.diff(np.concatenate([[0], cover.astype(int)])) == 1).sum())
+
+    out = []
+    for (d, t), w in zip(raw, said):
+        cut, runs = covered(len(t), 400, lambda i: times[t[i : i + 400]] > 1)
+        passages, n = covered(len(w), 51, lambda i: len(holders[tuple(w[i : i + 51])]) > 1)
+        kept = np.frombuffer(t, np.uint8)[~cut].tobytes()
+        out.append((d, len(t), int(cut.sum()), runs, hashlib.sha256(kept).hexdigest(), n, int(passages.sum())))
+    return out
+
+
+@pytest.mark.parametrize("block,batch", [(4096, 8192), (3, 8192), (4096, 1)])
+def test_suffix_dedup(spark, monkeypatch, block, batch):
+    """Brute force; anchors with more contents than a block go by fingerprints."""
+    rng = random.Random(6)
+    rows = texts()
+    shared = [f"{rng.choice('xyz')}{rng.randrange(99)}" for _ in range(53)]  # passages of less than 400 bytes
+    rows += [(500 + i, " ".join([*(f"a{rng.random()}" for _ in range(9)), *shared[: 48 + i], "end"])) for i in range(6)]
+    rows += [(520, " ".join(["own", *[f"q{k}" for k in range(60)]] * 2))]  # repeats within one document only
+    want = _repeated(rows)
+    assert any(x[2] == 0 < x[6] for x in want) and any(x[2] > 0 and x[5] == 0 for x in want)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    check(suffix_dedup.remove_repeats(table(spark, rows), with_text=False).drop("kept_text"), want)
+
+
+def test_suffix_dedup_of_nothing_and_its_texts(spark):
+    assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
+    text = "é" * 250 + "".join(map(str, range(200)))
+    got = {r.doc_id: r.kept_text for r in suffix_dedup.remove_repeats(table(spark, [(1, text), (2, text + "tail"), (3, None)])).collect()}
+    assert got == {1: "", 2: "tail", 3: ""}
 
 
-def test_long_texts_are_indexed_in_chunks(monkeypatch):
+@pytest.mark.parametrize("kind", suffix_dedup.KINDS)
+def test_long_texts_are_indexed_in_chunks(monkeypatch, kind):
     rng = np.random.default_rng(0)
-    text = rng.integers(97, 100, 9000).astype(np.uint8)
+    text = rng.integers(97, 100, 9000).astype(np.uint8 if kind is suffix_dedup.BYTES else np.uint64)
     text[5000:5600] = text[1000:1600]
-    whole = suffix_dedup.windows(text, np.array([0, len(text)]))
+    whole = suffix_dedup.windows(text, np.array([0, len(text)]), kind)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
-    cut = suffix_dedup.windows(text, np.array([0, len(text)]))
-    assert whole[2].sum() == cut[2].sum() == len(text) - 399
+    cut = suffix_dedup.windows(text, np.array([0, len(text)]), kind)
+    assert whole[2].sum() == cut[2].sum() == len(text) - kind.length + 1
+
+
+def test_columns_of_the_index():
+    """The Burrows-Wheeler and prefix columns of every round, against sorting the suffixes."""
+    import io
+
+    rng = np.random.default_rng(5)
+    m, rounds = 40, 12
+    table = rng.integers(1, 3, (m, rounds)).astype(np.int32)
+    group = rng.integers(0, 3, m)
+    bwt, prefixes = suffix_dedup.build_columns(group, io.BytesIO(np.ascontiguousarray(table.T[::-1]).tobytes()), rounds, 3)
+    bwt, prefixes = (np.frombuffer(x.getvalue(), np.int32).reshape(rounds, m) for x in (bwt, prefixes))
+    for t in range(rounds):
+        suffixes = [(group[i], *table[i, rounds - t :]) for i in range(m)]
+        order = sorted(range(m), key=lambda i: suffixes[i])
+        assert sorted(zip(map(suffixes.__getitem__, order), bwt[t])) == sorted((suffixes[i], table[i, rounds - 1 - t]) for i in range(m))
+        after = sorted((group[i], *table[i, rounds - 1 - t :]) for i in range(m))
+        common = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), t + 2) for a, b in zip(after, after[1:])]
+        assert prefixes[t].tolist() == [0, *[max(0, c - 1) for c in common]]
 
 
 def _base(t):
