@@ -60,9 +60,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _SCRATCH.remove(path)
+
+
 def release(spark: SparkSession, *keep: str) -> None:
     """Delete this session's scratch tables but those to keep; results not written yet must not need them."""
     for path in [p for p in _SCRATCH if p not in keep]:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _SCRATCH.remove(path)
+        _delete(spark, path)
+
+
+def release_table(spark: SparkSession, name: str) -> None:
+    """Delete the scratch table of that name that was made last."""
+    _delete(spark, next(p for p in reversed(_SCRATCH) if p.rsplit("/", 1)[1].startswith(f"kinfold-{name}-")))
