@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.kernels import SLICE_BYTES, U64, SpanHash, as_bytes, column, compressed, words
-from kinfold.runtime import bound_batches, checkpoint, stored
+from kinfold.runtime import bound_batches, checkpoint, release_table, stored
 
 
 @dataclass(frozen=True)
@@ -392,6 +392,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     found = stored(texts.select("row", "body").mapInArrow(_occurrences, OCCURRENCES), "windows")
     shared = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     live = stored(found.join(shared, "anchor", "left_semi"), "live")
+    release_table(documents.sparkSession, "windows")
 
     firsts = [F.first(c).alias(c) for c in ("kind", "anchor", "n", "lead", "row", "start")]
     classes = stored(live.groupBy("w1", "w2").agg(*firsts, F.count("*").alias("often"), F.min("row").alias("low"), F.max("row").alias("high")), "contents")
