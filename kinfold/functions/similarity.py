@@ -1,10 +1,12 @@
 """Comparators of token lists.
 
 The edit distance with transpositions has no built-in expression, so the
-matrix comparators are Arrow-batched functions of two token lists: a batch's
-distinct token pairs are measured together, by one dynamic programme that runs
-over all pairs at once, and matchings are then read off each matrix. Cosine
-needs no Python.
+matrix comparators are Arrow-batched functions of two token lists. A bounded
+number of matrix cells at a time, all cells are numbered by their two tokens,
+each distinct token pair is measured once by one dynamic programme that runs
+over all pairs, and the matrices are gathered from the results by index. The
+greedy matching takes every cell that is best in its row and in its column, and
+again on what is left. Cosine needs no Python.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from kinfold.config import Parameters
 
 PAIRS_AT_ONCE = 20_000
+DISTANCE_CELLS = 1 << 25  # of the dynamic programme held at once, but for a pair that has more alone
+MATRIX_CELLS = 1 << 20  # of score matrices held at once, but for a matrix that has more alone
 
 
 def edit_distances(left: list[str], right: list[str], restricted: bool = False) -> np.ndarray:
@@ -53,38 +57,38 @@ def edit_distances(left: list[str], right: list[str], restricted: bool = False)
     return cost[la, lb, np.arange(n)].astype(np.int64)
 
 
-def token_similarities(pairs: list[tuple[str, str]], number_rule: bool, initial_rule: bool, restricted: bool = False) -> dict[tuple[str, str], float]:
-    """Similarity of token pairs: equality for numbers and initials if the rules hold, else 1 - distance / length."""
-    out: dict[tuple[str, str], float] = {}
-    rest = []
-    for x, y in pairs:
-        if x == y:
-            out[x, y] = 1.0
-        elif number_rule and x.isdigit() and y.isdigit() or initial_rule and (len(x) == 1 or len(y) == 1):
-            out[x, y] = 0.0
-        else:
-            rest.append((x, y))
-    rest.sort(key=lambda p: (len(p[0]), len(p[1])))  # like lengths together: little padding
-    for at in range(0, len(rest), PAIRS_AT_ONCE):
-        part = rest[at : at + PAIRS_AT_ONCE]
-        for (x, y), d in zip(part, edit_distances([p[0] for p in part], [p[1] for p in part], restricted)):
-            out[x, y] = 1.0 - d / max(len(x), len(y))
+def token_similarities(vocabulary: np.ndarray, left: np.ndarray, right: np.ndarray, number_rule: bool, initial_rule: bool, restricted: bool = False) -> np.ndarray:
+    """Similarity of pairs of tokens, given by their places in ``vocabulary``: equality for numbers and initials if the rules hold, else 1 - distance / length."""
+    size = np.array([len(t) for t in vocabulary], dtype=np.int64)
+    out = (left == right).astype(float)
+    rest = left != right
+    if number_rule:
+        digits = np.array([t.isdigit() for t in vocabulary], dtype=bool)
+        rest &= ~(digits[left] & digits[right])
+    if initial_rule:
+        rest &= (size[left] != 1) & (size[right] != 1)
+    at = np.flatnonzero(rest)
+    at = at[np.lexsort((size[right[at]], size[left[at]]))]  # like lengths together: little padding
+    while len(at):
+        n = min(len(at), PAIRS_AT_ONCE)
+        while n > 1 and n * (size[left[at[:n]]].max() + 1) * (size[right[at[:n]]].max() + 1) > DISTANCE_CELLS:
+            n = n // 2
+        part, at = at[:n], at[n:]
+        a, b = left[part], right[part]
+        out[part] = 1.0 - edit_distances(vocabulary[a].tolist(), vocabulary[b].tolist(), restricted) / np.maximum(size[a], size[b])
     return out
 
 
-def _picks(sim: np.ndarray) -> list[float]:
-    """Greedy matching: the largest cell (first by rows of equals), then without its row and column, and so on."""
-    order = np.argsort(-sim, axis=None, kind="stable")
-    rows, cols, out = set(), set(), []
-    width = sim.shape[1]
-    for cell in order.tolist():
-        r, c = divmod(cell, width)
-        if r not in rows and c not in cols:
-            rows.add(r)
-            cols.add(c)
-            out.append((r, float(sim[r, c])))
-            if len(out) == min(sim.shape):
-                break
+def _picks(sim: np.ndarray) -> list[tuple[int, float]]:
+    """Greedy matching (row, similarity): the largest cell (first by rows of equals), then without its row and column, and so on."""
+    rows, cols = np.arange(sim.shape[0]), np.arange(sim.shape[1])
+    out: list[tuple[int, float]] = []
+    while len(rows) and len(cols):
+        best = sim.argmax(axis=1)
+        mine = np.flatnonzero(sim.argmax(axis=0)[best] == np.arange(len(rows)))  # none before it shares its row or column
+        out += zip(rows[mine].tolist(), sim[mine, best[mine]].tolist())
+        rows, cols = np.delete(rows, mine), np.delete(cols, best[mine])
+        sim = np.delete(np.delete(sim, mine, axis=0), best[mine], axis=1)
     return out
 
 
@@ -121,28 +125,34 @@ def _by_matrix(p: Parameters) -> Callable[[Column, Column], Column]:
     measure, number_rule, initial_rule = MATRIX[p.comparator], p.matrixNumTokenRule, p.matrixInitialRule
 
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = np.zeros(len(left))
+        one, two = left.tolist(), right.tolist()
+        m, n = (np.array([len(x) for x in side], dtype=np.int64) for side in (one, two))
+        cells = m * n
+        out = np.zeros(len(cells))
         at = 0
-        while at < len(left):  # a stretch of pairs whose matrices hold a bounded number of cells
-            to, cells = at, 0
-            while to < len(left) and (to == at or cells < 200_000):
-                cells += len(left.iloc[to]) * len(right.iloc[to])
-                to += 1
-            lists = [(list(left.iloc[i]), list(right.iloc[i])) for i in range(at, to)]
-            sims = token_similarities(list({(x, y) for a, b in lists for x in a for y in b}), number_rule, initial_rule)
-            for i, (a, b) in enumerate(lists, at):
-                if a and b:
-                    out[i] = measure(np.array([[sims[x, y] for y in b] for x in a]))
+        while at < len(cells):
+            to = max(at + 1, at + int(np.searchsorted(np.cumsum(cells[at:]), MATRIX_CELLS, side="right")))
+            vocabulary, place = np.unique(np.array([t for i in range(at, to) for side in (one, two) for t in side[i]], dtype=object), return_inverse=True)
+            ends = np.cumsum(np.stack([m[at:to], n[at:to]], axis=1).ravel())
+            lists = np.split(place, ends[:-1])
+            width = len(vocabulary)
+            codes = [(a[:, None] * width + b[None, :]).ravel() for a, b in zip(lists[::2], lists[1::2])]
+            pairs, cell = np.unique(np.concatenate(codes), return_inverse=True)
+            sims = token_similarities(vocabulary, pairs // max(width, 1), pairs % max(width, 1), number_rule, initial_rule)[cell]
+            for i, sim in enumerate(np.split(sims, np.cumsum(cells[at:to])[:-1]), at):
+                if cells[i]:
+                    out[i] = measure(sim.reshape(m[i], n[i]))
             at = to
         return pd.Series(out)
 
     return F.pandas_udf(run, "double")
 
 
-def cosine(left: Column, right: Column) -> Column:
-    """Shared tokens (with repeats) over the geometric mean of the lists' lengths; 0 for an empty list."""
+def cosine(left: Column, right: Column, distinct: bool = False) -> Column:
+    """Shared tokens (with repeats, unless the lists have none) over the geometric mean of the lists' lengths; 0 for an empty list."""
+    both = F.array_intersect(left, right)
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(F.array_intersect(left, right), F.lit(0), lambda s, x: s + F.least(times(left, x), times(right, x)))
+    shared = F.size(both) if distinct else F.aggregate(both, F.lit(0), lambda s, x: s + F.least(times(left, x), times(right, x)))
     size = F.sqrt(F.size(left).cast("double") * F.size(right))
     return F.when((F.size(left) > 0) & (F.size(right) > 0), shared / size).otherwise(0.0)
 
@@ -150,7 +160,7 @@ def cosine(left: Column, right: Column) -> Column:
 def comparator(p: Parameters) -> Callable[[Column, Column], Column]:
     """The similarity of two token lists that ``p`` names."""
     if p.comparator == "Cosine":
-        return cosine
+        return lambda left, right: cosine(left, right, p.removeDuplicateTokens)
     if p.comparator not in MATRIX:
         raise ValueError(f"no comparator {p.comparator!r}")
     return _by_matrix(p)
@@ -160,8 +170,8 @@ def token_similarity(p: Parameters, restricted: bool = False) -> Callable[[Colum
     """The similarity of two tokens by the rules of ``p``."""
 
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        pairs = list(zip(left, right))
-        sims = token_similarities(list(set(pairs)), p.matrixNumTokenRule, p.matrixInitialRule, restricted)
-        return pd.Series([sims[x] for x in pairs], dtype=float)
+        vocabulary, place = np.unique(np.concatenate([left.to_numpy(object), right.to_numpy(object)]), return_inverse=True)
+        a, b = np.split(place, 2)
+        return pd.Series(token_similarities(vocabulary, a, b, p.matrixNumTokenRule, p.matrixInitialRule, restricted))
 
     return F.pandas_udf(run, "double")

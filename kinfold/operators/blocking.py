@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinfold.config import Parameters
 from kinfold.functions.tokens import blocks
+from kinfold.runtime import checkpoint
 
 
 def blocking_tokens(refs: DataFrame, p: Parameters) -> DataFrame:
@@ -56,7 +57,7 @@ def candidate_pairs(refs: DataFrame, p: Parameters) -> DataFrame:
 
 def blocking_stats(refs: DataFrame, p: Parameters) -> DataFrame:
     """One row of counts over the blocking."""
-    toks = blocking_tokens(refs, p)
+    toks = checkpoint(blocking_tokens(refs, p))
     per_ref = toks.groupBy("ref_id").agg(F.sum("times").alias("k"))
     left = per_ref.where(F.col("k") >= (2 if p.blockByPairs else 1))
     records = F.col("k") * (F.col("k") - 1) / 2 if p.blockByPairs else F.col("k")

@@ -15,9 +15,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.config import Parameters, read_parameters
+from kinfold.config import Parameters, read_parameters, summary
 from kinfold.operators import blocking, evaluate, frequency, report, scoring
-from kinfold.runtime import checkpoint
+from kinfold.runtime import checkpoint, stored
 from kinfold.sources import delimited
 
 ITERATION = "iteration int, mu double, epsilon double, candidate_pairs bigint, links bigint, clusters bigint, refs_in_clusters bigint, clusters_over_one bigint, good_clusters bigint, refs_in_good bigint"
@@ -43,8 +43,9 @@ class Resolution:
 
 
 def prepare(references: DataFrame, p: Parameters) -> DataFrame:
-    """The references as (ref_id, toks with frequencies), materialised for the loop."""
-    return checkpoint(frequency.reform(frequency.tokens(references, p)))
+    """The references as (ref_id, toks with frequencies), tokenized once and materialised."""
+    lists = stored(frequency.token_lists(references, p).select("ref_id", "toks"), "tokens")
+    return checkpoint(frequency.reform(frequency.positions(lists)))
 
 
 def scored_candidates(refs: DataFrame, p: Parameters) -> DataFrame:
@@ -101,6 +102,11 @@ def run(spark: SparkSession, parms_path: str, out: str | None = None) -> Resolut
         report.cluster_profile(result.index).write.mode("overwrite").parquet(f"{out}/cluster_profile")
         result.run_stats(spark).write.mode("overwrite").parquet(f"{out}/run_stats")
         frequency.tokenization_stats(references, p).write.mode("overwrite").parquet(f"{out}/tokenization_stats")
+        freq = frequency.token_frequency(frequency.tokens(references, p))
+        frequency.frequency_stats(freq).write.mode("overwrite").parquet(f"{out}/frequency_stats")
+        spark.createDataFrame(summary(p), "name string, value string").write.mode("overwrite").parquet(f"{out}/parameters")
+        log = [f"{k}: {v}" for i in result.iterations for k, v in i.items()]
+        spark.createDataFrame([(line,) for line in [*(f"{n}={v}" for n, v in summary(p)), *log]], "line string").coalesce(1).write.mode("overwrite").text(f"{out}/log")
         residual = residual_refs(references, result)
         residual.write.mode("overwrite").parquet(f"{out}/residual")
         for i, profile in enumerate(result.profiles, 1):

@@ -39,15 +39,13 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_table(df: DataFrame, ref_id: Column, body: Column) -> DataFrame:
-    """References from the columns of a table; ids are compared as text."""
+    """References from the columns of a table; ids are compared as text. A table of fewer partitions than there are cores is dealt out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.select(F.upper(F.trim(ref_id.cast("string"))).alias("ref_id"), body.cast("string").alias("body"))
 
 
-def ascii_only(body: Column) -> Column:
-    """Runs of other characters than ASCII letters, digits and _ as blanks."""
-    return F.regexp_replace(body, "[^A-Za-z0-9_]+", " ")
-
-
 def require_unique(references: DataFrame) -> DataFrame:
     """``references``, or ``ValueError`` if an id comes twice."""
     twice = references.groupBy("ref_id").count().where("count > 1").limit(5).collect()

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinfold.config import Parameters
-from kinfold.functions.similarity import edit_distances, matrix_kris, matrix_std, monge_elkan, token_similarity
+from kinfold.functions.similarity import cosine, edit_distances, matrix_kris, matrix_std, monge_elkan, token_similarity
 from kinfold.functions.tokens import scoring_tokens
 from kinfold.operators import blocking, evaluate, frequency, report
 from kinfold.operators.components import connected_components
@@ -160,6 +160,23 @@ def test_token_rules(spark):
     assert score(replace(P, matrixNumTokenRule=True, matrixInitialRule=True)) == [0.0, 1.0, 0.0, 0.75]
 
 
+def test_cosine_counts_repeats(spark):
+    df = spark.createDataFrame([(["A", "A", "B"], ["A", "A", "A", "C"])], "a array<string>, b array<string>")
+    assert df.select(cosine(F.col("a"), F.col("b")).alias("s")).first().s == pytest.approx(2 / 12**0.5)
+    assert df.select(cosine(F.array_distinct("a"), F.array_distinct("b"), True).alias("s")).first().s == 0.5
+
+
+def test_hot_tokens_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "HOT_TOKENS", 3)
+    data = [(f"{i}", "the " * (i % 2) + f"w{i % 7}") for i in range(40)]
+    got = frequency.with_frequency(frequency.tokens(refs(spark, data), replace(P, removeDuplicateTokens=False)))
+    count = defaultdict(int)
+    for _, t in data:
+        for x in t.upper().split():
+            count[x] += 1
+    assert rows(got.select("tok", "freq").distinct()) == sorted(count.items(), key=repr) and got.count() == sum(count.values())
+
+
 def test_components_are_labelled_by_the_smallest_id(spark):
     rng = random.Random(1)
     edges = [(f"A{rng.randint(0, 60)}", f"A{rng.randint(0, 60)}") for _ in range(45)] + [(f"B{i}", f"B{i + 1}") for i in range(12)] + [("C", "C")]
@@ -256,6 +273,9 @@ def test_run_end_to_end(spark, people):
     assert (m.tp, m.fp, m.fn, m.f) == (2, 0, 0, 1.0) and m.d == m.tp + m.fp + m.fn + m.tn
     assert "A2 * A1" in {r.value for r in spark.read.text(f"{out}/linked_index_text").collect()}
     assert {"ref_id", "cluster_id", "body"} == set(spark.read.parquet(f"{out}/linked_index").columns)
+    assert spark.read.parquet(f"{out}/frequency_stats").first().max_freq == 2
+    assert ("mu", "0.6") in rows(spark.read.parquet(f"{out}/parameters"))
+    assert "links: 2" in {r.value for r in spark.read.text(f"{out}/log").collect()}
     stats = [r.asDict() for r in spark.read.parquet(f"{out}/run_stats").collect()]
     assert any(s["iteration"] is None for s in stats)
 
