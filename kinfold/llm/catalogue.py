@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.ORACLE, "op6_secret_scan": secret_scan.ORACLE}
+    return {
+        "op1_suffix_dedup": suffix_dedup.ORACLE,
+        "op3_chat_format": chat_format.ORACLE,
+        "op5_embedding_dedup": embedding_dedup.ORACLE,
+        "op6_secret_scan": secret_scan.ORACLE,
+        "op7_minhash_dedup": minhash_dedup.ORACLE,
+    }

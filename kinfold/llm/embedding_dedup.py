@@ -227,3 +227,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: links and components of all embeddings."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLE = """
+with recursive v as (select row_number() over () as r, vec_id, embedding::double[] as x from embeddings),
+u as (select r, x from v where x is not null and len(x) > 0 and len(list_filter(x, lambda y: y is null or isnan(y) or isinf(y))) = 0 and len(list_filter(x, lambda y: y <> 0)) > 0),
+link as materialized (select a.r as a, b.r as b from u a join u b on a.r < b.r and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.95),
+edge as materialized (select a, b from link union select b, a from link union select r, r from v),
+reach as (select a, b from edge union select x.a, e.b from reach x join edge e on x.b = e.a),
+low as (select a as r, min(vec_id) as component_id from reach join v on v.r = reach.b group by a),
+n as (select a as r, count(*) as n from edge where a <> b group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from v join low using (r) left join n using (r)
+"""

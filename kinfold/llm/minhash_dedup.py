@@ -331,3 +331,16 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     kept = rows.groupBy(F.col("group").isNull(), F.coalesce("group", "doc_key")).agg(first).select("__key")
     once = docs.withColumn("__key", row_key(F.col("doc_id").cast("bigint"), F.col("text"))).join(kept, "__key", "left_semi")
     return once.dropDuplicates(["__key"]).select(*docs.columns)
+
+
+ORACLE = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct r, md5(array_to_string(w[i:i + 4], ' ')) as k from (select r, w, unnest(case when len(w) >= 5 then range(1, len(w) - 3) when len(w) > 0 then [1] else [] end) as i from d)),
+n as materialized (select r, count(*) as n from g group by r),
+shared as (select a.r as a, b.r as b, count(*) as c from g a join g b on a.k = b.k and a.r < b.r group by all),
+link as materialized (select a, b from shared join n x on x.r = a join n y on y.r = b where 100 * c >= 85 * (x.n + y.n - c)),
+edge as materialized (select a, b from link union select b, a from link union select r, r from d),
+reach as (select a, b from edge union select x.a, e.b from reach x join edge e on x.b = e.a),
+low as (select a as r, min(doc_id) as component_id from reach join d on d.r = reach.b group by a)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, doc_id) as component_id, coalesce(doc_id = component_id, true) as kept from d left join n using (r) left join low using (r)
+"""

@@ -418,3 +418,25 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: what stays of every whole text, and what it holds of passages of over 50 words that other documents hold too."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("kept_text")
+
+
+ORACLE = r"""
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+h as (select r, doc_id, hex(b) as x, octet_length(b) as n, w from d),
+s as (select r, i, md5(substr(x, 2 * i - 1, 800)) as k from (select r, x, unnest(range(1, n - 398)) as i from h where n >= 400)),
+hit as (select r, i from (select r, i, count(*) over (partition by k) as c from s) where c > 1),
+run as (select r, min(i) as a, max(i) + 400 as z from (select r, i, sum(fresh) over (partition by r order by i) as g
+    from (select r, i, case when i - lag(i) over (partition by r order by i) <= 400 then 0 else 1 end as fresh from hit)) group by r, g),
+cut as (select r, count(*) as n_spans, sum(z - a)::bigint as n_removed, list(a order by a) as a, list(z order by a) as z from run group by r),
+kept as (select h.r, h.doc_id, h.n, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+    case when a is null then x else substr(x, 1, 2 * (a[1] - 1)::bigint)
+        || array_to_string(list_transform(range(1, len(a) + 1), lambda i: substr(x, (2 * z[i] - 1)::bigint, case when i < len(a) then 2 * (a[i + 1] - z[i])::bigint else 2 * h.n end)), '') end as rest
+    from h left join cut using (r)),
+ws as (select r, i, md5(array_to_string(w[i:i + 50], ' ')) as k from (select r, w, unnest(range(1, len(w) - 49)) as i from h where len(w) >= 51)),
+wk as (select k from ws group by k having min(r) < max(r)),
+wrun as (select r, min(i) as a, max(i) + 51 as z from (select r, i, sum(fresh) over (partition by r order by i) as g
+    from (select r, i, case when i - lag(i) over (partition by r order by i) <= 51 then 0 else 1 end as fresh from ws join wk using (k))) group by r, g),
+passages as (select r, count(*) as n_passages, sum(z - a)::bigint as n_passage_words from wrun group by r)
+select doc_id, n as n_bytes, n_removed, n_spans, sha256(unhex(rest)) as kept_sha256, coalesce(n_passages, 0) as n_passages, coalesce(n_passage_words, 0)::bigint as n_passage_words
+from kept left join passages using (r)
+"""
