@@ -137,3 +137,15 @@ def test_compress_joins_parts_of_tokens_of_documents(spark, corpus):
     got = rows(QUERIES["tokenize_compress"](spark, sf))
     assert got == sorted(((r, i, t) for r, l in _lists(docs, compress=True).items() for i, t in enumerate(l, 1)), key=repr)
     assert {"490462048", "ITS", "ANNEMARIE", "NAÏVEÉTÉ"} <= {t for _, _, t in got} and got != rows(QUERIES["tokenize_splitter"](spark, sf))
+
+
+def test_pair_keys_and_token_pairs_of_documents(spark, corpus):
+    sf, docs = corpus
+    lists = _lists(docs)
+    freq = Counter(t for l in lists.values() for t in l)
+    key = {r: [t for t in l if 2 <= freq[t] <= P["beta"] and len(t) >= P["length"] and not re.fullmatch("[0-9]+", t)] for r, l in lists.items()}
+    got = sorted((r.t1, r.t2, r.ref_id) for r in QUERIES["documents_block_keys_pairs"](spark, sf).collect())
+    assert got == sorted((*sorted(c), r) for r, l in key.items() for c in combinations(l, 2))
+    pairs, compared = _candidates(lists, P=RARE)
+    want = {(x, y): 1 - _distance(x, y) / max(len(x), len(y)) for a, b in pairs for x in compared[a] for y in compared[b]}
+    assert {(r.t1, r.t2): r.similarity for r in QUERIES["documents_token_pair_similarity"](spark, sf).collect()} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
