@@ -2,10 +2,16 @@
 
 A document's hashed word vector is projected to ``DIMS`` dimensions, each is
 cut into cells, and the cells' Hilbert key orders the documents: neighbours on
-the curve have similar words. Rows are range-partitioned and sorted by that key
-and laid end to end in sequences of ``SEQUENCE`` ids; documents are cut where a
-sequence ends. What is left at a task's end goes into sequences whose lengths
-are powers of two, so no sequence needs padding.
+the curve have similar words. The curve is divided into ranges of about equal
+bytes (a first pass sums the bytes of ``1 << STRETCH_BITS`` stretches of it), rows
+are sorted by key within their range and laid end to end in sequences of
+``SEQUENCE`` ids; documents are cut where a sequence ends. What is left at a
+range's end goes into sequences whose lengths are powers of two, so no sequence
+needs padding.
+
+A stretch with more bytes than a range (many copies, say) is shared out among
+several ranges by a hash of id and text, so no range grows with a hot key;
+only rows equal in both stay together, and a range is streamed.
 
 Null texts hold the end id alone; texts without words have the key of the zero
 vector; equal keys are ordered by id and content; repeated rows are packed
@@ -31,6 +37,8 @@ SEQUENCE = 2048
 END_ID = 1
 DIMS = 4
 CELL_BITS = 12
+STRETCH_BITS = 16
+RANGE_BYTES = (4 << 20, 256 << 20)  # least of a range, and most whatever the session's number of partitions
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -81,10 +89,39 @@ def curve_keys(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return hilbert_key(cells)
 
 
-def _add_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretch(keys: np.ndarray) -> np.ndarray:
+    return keys >> (DIMS * CELL_BITS - STRETCH_BITS)
+
+
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes in each stretch of the curve, one more for every row, once a task."""
+    total = np.zeros(1 << STRETCH_BITS, dtype=np.int64)
     for batch in batches:
-        keys = [curve_keys(buf, offs) for _, buf, offs in slices(batch, "text")]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array(np.concatenate(keys) if keys else [], pa.int64())], ["doc_id", "text", "curve"])
+        for _, buf, offs in slices(batch, "text"):
+            np.add.at(total, _stretch(curve_keys(buf, offs)), np.diff(offs) + 1)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["stretch", "size"])
+
+
+def range_of(keys: np.ndarray, share: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each row: by its stretch, and by ``share`` (0 to 1) within the stretch."""
+    ends = np.cumsum(sizes)
+    at = _stretch(keys)
+    place = (ends[at] - sizes[at]) + share * sizes[at]
+    return np.clip(place * ranges / max(int(ends[-1]), 1), 0, ranges - 1).astype(np.int32)
+
+
+def _add_keys(sizes: np.ndarray, ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, buf, offs in slices(batch, "text"):
+                keys = curve_keys(buf, offs)
+                ids = column(rows, "doc_id").fill_null(0).to_numpy().astype(np.int64).view(U64)
+                drawn = mix(SpanHash(buf).of(offs[:-1], offs[1:]) ^ mix(ids)).astype(np.float64) / 2.0**64
+                out = [column(rows, "doc_id"), column(rows, "text"), pa.array(keys, pa.int64()), pa.array(range_of(keys, drawn, sizes, ranges), pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "text", "curve", "range"])
+
+    return run
 
 
 def _tails(length: int) -> list[int]:
@@ -137,9 +174,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The pieces of every document of ``docs`` (doc_id, text) in sequences along the curve."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.mapInArrow(_add_keys, "doc_id bigint, text string, curve bigint")
-    order = ("curve", "doc_id", F.xxhash64("text"))
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pack(tokenizer or public_path(BYTES_FILE)), PIECES)
+    sizes = np.zeros(1 << STRETCH_BITS, dtype=np.int64)
+    for r in rows.select("text").mapInArrow(_weigh, "stretch bigint, size bigint").groupBy("stretch").agg(F.sum("size").alias("size")).collect():
+        sizes[r["stretch"]] = r["size"]
+    least, most = (-(-int(sizes.sum()) // x) for x in RANGE_BYTES)
+    ranges = max(1, min(least, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), most)))
+    keyed = rows.mapInArrow(_add_keys(sizes, ranges), "doc_id bigint, text string, curve bigint, range int")
+    dealt = keyed.repartitionById(ranges, "range").sortWithinPartitions("curve", "doc_id", F.xxhash64("text"))
+    return dealt.select("doc_id", "text").mapInArrow(_pack(tokenizer or public_path(BYTES_FILE)), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -507,6 +507,32 @@ def test_packing(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_packing_ranges_are_even_and_split_a_hot_key():
+    rng = np.random.default_rng(3)
+    bits = packing.DIMS * packing.CELL_BITS
+    keys = np.concatenate([rng.integers(0, 1 << bits, 20_000), np.full(10_000, 12345)])  # a third of all rows share one key
+    size = np.concatenate([rng.integers(1, 3000, 20_000), np.full(10_000, 1500)])
+    sizes = np.zeros(1 << packing.STRETCH_BITS, dtype=np.int64)
+    np.add.at(sizes, packing._stretch(keys), size)
+    got = packing.range_of(keys, rng.random(len(keys)), sizes, 40)
+    held = np.bincount(got, size, 40)
+    assert got.min() == 0 and got.max() == 39 and held.max() < 1.2 * size.sum() / 40
+    order = np.argsort(keys, kind="stable")
+    apart = packing._stretch(keys[order])
+    assert (np.diff(got[order])[np.diff(apart) > 0] >= 0)[1:].all()  # ranges follow the curve from stretch to stretch
+    none = np.zeros(1 << packing.STRETCH_BITS, dtype=np.int64)
+    assert packing.range_of(np.zeros(0, np.int64), np.zeros(0), none, 1).tolist() == []
+
+
+def test_packing_many_ranges_of_copies_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_BYTES", (64, 256))
+    rows = [(d, "the same words again and again") for d in range(60)] + [(None, None), (None, ""), (7, None), (100, "é " * 3000)]
+    got = packing.pack(table(spark, rows)).collect()
+    assert sum(r.length for r in got) == sum(len(_ids(encoding.BYTES_FILE, t, 1)) for _, t in rows)
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id is not None and r.doc_id < 60}) > 4
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.start == 0) == sorted((d is None, d or 0) for d, _ in rows)
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
     key = packing.hilbert_key(cells, 3)
