@@ -9,6 +9,7 @@ the whole text; tests hold this against the library.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 from itertools import chain
 
@@ -62,6 +63,7 @@ class PieceEncoder:
     """Encodes texts by pieces; ``keeps_blanks``: a word's token holds the blank before it."""
 
     def __init__(self, path: str, keeps_blanks: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of all tasks would wait for each other
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
