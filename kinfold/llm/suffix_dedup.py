@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm.kernels import SLICE_BYTES, U64, SpanHash, as_bytes, column, compressed, words
-from kinfold.runtime import bound_batches, checkpoint, release_table, stored
+from kinfold.runtime import bound_batches, checkpoint, release_table, shuffles_released, stored
 
 
 @dataclass(frozen=True)
@@ -381,18 +381,12 @@ def _runs(offs: Column) -> Column:
     return F.aggregate(offs, none, step)
 
 
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and kept_text of every row.
-
-    ``kept_text`` drops characters that are cut in two, and is null unless ``with_text``.
-    """
-    bound_batches(documents.sparkSession)
-    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts = stored(docs.mapInArrow(_squeeze, "row bigint, doc_id bigint, body binary"), "texts")
+def _spans(texts: DataFrame) -> DataFrame:
+    """row and spans: the starts of repeated strings of every text that has any."""
     found = stored(texts.select("row", "body").mapInArrow(_occurrences, OCCURRENCES), "windows")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    shared = stored(found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"), "shared")
     live = stored(found.join(shared, "anchor", "left_semi"), "live")
-    release_table(documents.sparkSession, "windows")
+    release_table(texts.sparkSession, "windows")
 
     firsts = [F.first(c).alias(c) for c in ("kind", "anchor", "n", "lead", "row", "start")]
     classes = stored(live.groupBy("w1", "w2").agg(*firsts, F.count("*").alias("often"), F.min("row").alias("low"), F.max("row").alias("high")), "contents")
@@ -411,7 +405,19 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     marks = sure.unionByName(few).unionByName(many)
     spans = live.select("w1", "w2", "kind", "row", "start").join(marks, ["w1", "w2"]).select("row", F.struct("kind", (F.col("start") + F.col("off")).alias("start"), "n").alias("span"))
-    spans = spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
+
+
+def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and kept_text of every row.
+
+    ``kept_text`` drops characters that are cut in two, and is null unless ``with_text``.
+    """
+    bound_batches(documents.sparkSession)
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = stored(docs.mapInArrow(_squeeze, "row bigint, doc_id bigint, body binary"), "texts")
+    with shuffles_released(documents.sparkSession):
+        spans = _spans(texts)
     return texts.join(spans, "row", "left").select("doc_id", "body", "spans").mapInArrow(_remove(with_text), CLEANED)
 
 

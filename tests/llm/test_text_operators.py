@@ -5,6 +5,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -91,6 +92,25 @@ def test_suffix_dedup_of_nothing_and_its_texts(spark):
     assert got == {1: "", 2: "tail", 3: ""}
 
 
+def test_suffix_dedup_drops_its_shuffle_files(spark):
+    """Those of its tables are gone when the result is returned, and the session's setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(name)
+    got = suffix_dedup.remove_repeats(table(spark, texts()), with_text=False)
+    for _ in range(50):  # executors delete them in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left and spark.conf.get(name) == setting
+    check(got.drop("kept_text"), _repeated(texts()))
+
+
 @pytest.mark.parametrize("kind", suffix_dedup.KINDS)
 def test_long_texts_are_indexed_in_chunks(monkeypatch, kind):
     rng = np.random.default_rng(0)
